@@ -71,27 +71,37 @@ def numeric(value: Column, dtype: str = "string") -> Column:
 # ---- clocks -----------------------------------------------------------------
 
 
+_DAY = r"\d{4}-\d{1,2}-\d{1,2}"
+_CLOCK = r"[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?"
+
+
 def parse_datetime(text: Column) -> Column:
-    """Seconds since the epoch of a date or date-time text; no zone means UTC, unreadable means null."""
+    """Seconds since the epoch of a date or date-time text; no zone means UTC, unreadable means null.
+
+    Read are ISO dates and date-times, ``yyyy/MM/dd`` and ``MM/dd/yyyy``.
+    """
     trimmed = F.trim(text)
-    dashed = F.regexp_replace(trimmed, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    dashed = F.regexp_replace(dashed, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    day = r"^\d{4}-\d{1,2}-\d{1,2}"
-    clock = r"[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?"
-    zoned = F.regexp_replace(dashed, r"\s*(UTC|GMT|Z|z)$", "Z")
-    full = (
-        F.when(zoned.rlike(day + "$"), F.concat(zoned, F.lit("T00:00:00Z")))
-        .when(zoned.rlike(day + clock + r"(Z|[+-]\d{2}:?\d{2})$"), zoned)
-        .when(zoned.rlike(day + clock + "$"), F.concat(zoned, F.lit("Z")))
+    iso = (
+        F.when(trimmed.rlike(r"^\d{4}-"), trimmed)
+        .when(trimmed.rlike(r"^\d{4}/"), F.regexp_replace(trimmed, r"^(\d{4})/(\d{1,2})/", "$1-$2-"))
+        .when(
+            trimmed.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"),
+            F.regexp_replace(trimmed, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
+        )
     )
-    return F.unix_micros(full.try_cast("timestamp")) / F.lit(1e6)
+    # a date gets a clock, a clock without a zone gets UTC
+    clocked = F.regexp_replace(iso, f"^({_DAY})$", "$1T00:00:00")
+    zoned = F.regexp_replace(clocked, f"^({_DAY}{_CLOCK}) *(UTC|GMT|Z|z)?$", "$1Z")
+    whole = F.when(zoned.rlike(f"^{_DAY}{_CLOCK}(Z|[+-]\\d{{2}}:?\\d{{2}})$"), zoned)
+    return F.unix_micros(whole.try_cast("timestamp")) / F.lit(1e6)
 
 
 def _in_calendar(seconds: Column) -> Column:
     return F.when((seconds >= _FIRST_SECOND) & (seconds < _END_SECOND), seconds)
 
 
-def _auto_seconds(value: Column) -> Column:
+def auto_seconds(value: Column) -> Column:
+    """Seconds of a number whose size tells its unit."""
     size = F.abs(value)
     steps = [(size >= floor, _in_calendar(value / divisor)) for floor, _, divisor in _AUTO_SCALES]
     return _case(steps, value)
@@ -127,7 +137,7 @@ def normalize_time(value: Column, unit: str = "auto", dtype: str = "string") ->
         return _datetime_seconds(value, dtype)
     number = numeric(value, dtype)
     if unit == "auto":
-        seconds = _auto_seconds(number)
+        seconds = auto_seconds(number)
     elif unit in ("seconds", "relative_s"):
         seconds = number
     else:
@@ -137,16 +147,19 @@ def normalize_time(value: Column, unit: str = "auto", dtype: str = "string") ->
     return seconds
 
 
+def unit_tag(seconds: Column, number: Column, unit: str = "auto") -> Column:
+    """Unit tag from a cell's seconds and number, both already computed."""
+    if unit == "datetime":
+        return F.when(seconds.isNotNull(), F.lit("datetime"))
+    named = {"auto": _auto_unit(number), "seconds": F.lit("relative_s")}.get(unit, F.lit(unit))
+    return F.when(seconds.isNotNull(), F.when(number.isNotNull(), named).otherwise(F.lit("datetime")))
+
+
 def time_unit(value: Column, unit: str = "auto", dtype: str = "string") -> Column:
     """Unit tag of a cell that :func:`normalize_time` can read, else null."""
-    seconds = normalize_time(value, unit, dtype)
-    if unit == "datetime" or dtype in ("timestamp", "timestamp_ntz", "date"):
-        tag = F.lit("datetime")
-    else:
-        number = numeric(value, dtype)
-        named = {"auto": _auto_unit(number), "seconds": F.lit("relative_s")}.get(unit, F.lit(unit))
-        tag = F.when(number.isNotNull(), named).otherwise(F.lit("datetime"))
-    return F.when(seconds.isNotNull(), tag)
+    if dtype in ("timestamp", "timestamp_ntz", "date"):
+        return F.when(value.isNotNull(), F.lit("datetime"))
+    return unit_tag(normalize_time(value, unit, dtype), numeric(value, dtype), unit)
 
 
 def query_time(value: Column, position: Column, unit: str = "auto", dtype: str = "string") -> Column:

@@ -36,6 +36,10 @@ def is_numeric_type(dtype: str) -> bool:
     return dtype in NUMERIC_TYPES or dtype.startswith("decimal")
 
 
+def is_clock_type(dtype: str) -> bool:
+    return dtype in ("timestamp", "timestamp_ntz", "date")
+
+
 # ---- numbers ----------------------------------------------------------------
 
 
@@ -103,8 +107,8 @@ def _in_calendar(seconds: Column) -> Column:
 def auto_seconds(value: Column) -> Column:
     """Seconds of a number whose size tells its unit."""
     size = F.abs(value)
-    steps = [(size >= floor, _in_calendar(value / divisor)) for floor, _, divisor in _AUTO_SCALES]
-    return _case(steps, value)
+    divisor = _case([(size >= floor, F.lit(divisor)) for floor, _, divisor in _AUTO_SCALES], F.lit(1.0))
+    return _in_calendar(value / divisor)
 
 
 def _auto_unit(value: Column) -> Column:
@@ -120,7 +124,7 @@ def _case(steps: list[tuple[Column, Column]], otherwise: Column) -> Column:
 
 
 def _datetime_seconds(value: Column, dtype: str) -> Column:
-    if dtype in ("timestamp", "timestamp_ntz", "date"):
+    if is_clock_type(dtype):
         return F.unix_micros(value.cast("timestamp")) / F.lit(1e6)
     if dtype == "string":
         compact = F.regexp_replace(F.trim(value), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
@@ -129,13 +133,16 @@ def _datetime_seconds(value: Column, dtype: str) -> Column:
     return _in_calendar(F.floor(numeric(value, dtype) / F.lit(1e3)) / F.lit(1e6))
 
 
-def normalize_time(value: Column, unit: str = "auto", dtype: str = "string") -> Column:
-    """Seconds of a timeline cell. Numbers, also in texts, come before date texts."""
+def normalize_time(value: Column, unit: str = "auto", dtype: str = "string", number: Column | None = None) -> Column:
+    """Seconds of a timeline cell. Numbers, also in texts, come before date texts.
+
+    ``number`` is :func:`numeric` of the cell where a projection has computed it already.
+    """
     if unit not in TIME_UNITS:
         raise ValueError(f"Unsupported time unit: {unit}")
-    if unit == "datetime" or dtype in ("timestamp", "timestamp_ntz", "date"):
+    if unit == "datetime" or is_clock_type(dtype):
         return _datetime_seconds(value, dtype)
-    number = numeric(value, dtype)
+    number = numeric(value, dtype) if number is None else number
     if unit == "auto":
         seconds = auto_seconds(number)
     elif unit in ("seconds", "relative_s"):
@@ -157,7 +164,7 @@ def unit_tag(seconds: Column, number: Column, unit: str = "auto") -> Column:
 
 def time_unit(value: Column, unit: str = "auto", dtype: str = "string") -> Column:
     """Unit tag of a cell that :func:`normalize_time` can read, else null."""
-    if dtype in ("timestamp", "timestamp_ntz", "date"):
+    if is_clock_type(dtype):
         return F.when(value.isNotNull(), F.lit("datetime"))
     return unit_tag(normalize_time(value, unit, dtype), numeric(value, dtype), unit)
 

@@ -15,9 +15,9 @@ from tracelake.operators.index import (
     first_present_field,
     log_level,
     log_message,
-    row_time,
     text_of,
     with_row_sequence,
+    with_row_time,
 )
 
 _SIZE_WORDS = {"width": "w", "height": "h"}
@@ -74,7 +74,9 @@ def finite_point(*values: Column) -> Column:
 
 def clamp_color(value: Column) -> Column:
     """Colour channel: rounded half to even, kept in 0..255."""
-    return F.least(F.greatest(F.bround(value, 0), F.lit(0.0)), F.lit(255.0)).cast("int")
+    kept = F.least(F.greatest(F.bround(value, 0), F.lit(0.0)), F.lit(255.0))
+    # least and greatest pass over nulls
+    return F.when(value.isNotNull(), kept.cast("int"))
 
 
 def build_tables(
@@ -88,9 +90,11 @@ def build_tables(
 
     Every record carries ``row``, its position in the final order, and ``time`` where the row has one.
     """
-    rows = df.withColumn("recording_id", as_column(recording_id).cast("string"))
-    rows = rows.withColumn("time", row_time(df, mapping)).withColumn("ord", column(ord).cast("bigint"))
-    rows = with_row_sequence(rows, ["recording_id"], mapping.get("timeline_sort") or "source", chunks)
+    # own names, so that source columns of the same names stay readable
+    rows = with_row_time(df, mapping, "_time").withColumn("_recording", as_column(recording_id).cast("string"))
+    rows = rows.withColumn("_position", column(ord).cast("bigint"))
+    sort = mapping.get("timeline_sort") or "source"
+    rows = with_row_sequence(rows, ["_recording"], sort, chunks, time="_time", ord="_position", name="_row")
 
     def record(kind: str, path: str, **values: Column) -> Column:
         named = [F.lit(path).alias("entity_path"), F.lit(kind).alias("semantic_type")]
@@ -132,8 +136,10 @@ def build_tables(
     for name, records in cells.items():
         if records:
             tables[name] = (
-                rows.select("recording_id", "row", "time", F.explode(F.array(*records)).alias("cell"))
-                .select("recording_id", "row", "time", "cell.*")
+                rows.select("_recording", "_row", "_time", F.explode(F.array(*records)).alias("cell"))
+                .select(
+                    F.col("_recording").alias("recording_id"), F.col("_row").alias("row"), F.col("_time").alias("time"), "cell.*"
+                )
                 .filter(F.col("value").isNotNull())
             )
     return tables

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalars import clean, is_numeric_type, normalize_time
+from tracelake.functions.scalars import clean, is_clock_type, is_numeric_type, normalize_time, numeric
 from tracelake.operators.ordered import with_rank
 from tracelake.schema import SIGNAL_COLUMNS
 
@@ -93,14 +93,19 @@ def enabled_streams(mapping: dict) -> list[dict]:
     return [stream for stream in mapping.get("streams", []) if stream.get("enabled", True)]
 
 
-def row_time(df: DataFrame, mapping: dict) -> Column:
-    """Seconds of the mapped timeline; a missing or unreadable cell stays null."""
+def with_row_time(df: DataFrame, mapping: dict, name: str = "time") -> DataFrame:
+    """Add the seconds of the mapped timeline; a missing or unreadable cell stays null."""
     field = mapping.get("primary_timeline")
     if not field or field not in df.columns:
-        return F.lit(None).cast("double")
+        return df.withColumn(name, F.lit(None).cast("double"))
     unit = mapping.get("effective_unit") or mapping.get("timeline_unit") or "auto"
     kind = dict(df.dtypes)[field]
-    return normalize_time(clean(column(field), kind), unit, kind)
+    value = clean(column(field), kind)
+    if is_clock_type(kind):
+        return df.withColumn(name, normalize_time(value, unit, kind))
+    # the number is read once per row, in a projection of its own
+    staged = df.withColumn("_number", numeric(value, kind))
+    return staged.withColumn(name, normalize_time(value, unit, kind, F.col("_number"))).drop("_number")
 
 
 def _signal(path: str, kind: str, key: str, value: tuple[Column, Column, Column]) -> Column:
@@ -135,18 +140,25 @@ def index_frame(
         if kind == "text_log" and fields:
             message = (F.lit("string"), F.lit(None).cast("double"), log_message(df, fields))
             cells.append(_signal(path, kind, "message", message))
-    position = F.monotonically_increasing_id() if ord is None else (F.col(ord) if isinstance(ord, str) else ord)
+    if ord is not None:
+        position = F.col(ord) if isinstance(ord, str) else ord
+    elif df.isStreaming:
+        # a stream has no source order: a stable number breaks ties
+        position = F.xxhash64(*[column(name) for name in df.columns])
+    else:
+        position = F.monotonically_increasing_id()
+    timed = with_row_time(df, mapping, "_time")
     row = [
         as_column(recording_id).cast("string").alias("recording_id"),
         as_column(source_id).cast("string").alias("source_id"),
-        row_time(df, mapping).alias("time"),
+        F.col("_time").alias("time"),
         position.cast("bigint").alias("ord"),
     ]
     if not cells:
         empty = [F.lit(None).cast("string").alias(name) for name in ("entity_path", "semantic_type", "key", "value_type")]
         empty += [F.lit(None).cast("double").alias("value_num"), F.lit(None).cast("string").alias("value_str")]
-        return df.select(*row, *empty).filter(F.lit(False)).select(*SIGNAL_COLUMNS)
-    melted = df.select(*row, F.explode(F.array(*cells)).alias("cell")).select(
+        return timed.select(*row, *empty).filter(F.lit(False)).select(*SIGNAL_COLUMNS)
+    melted = timed.select(*row, F.explode(F.array(*cells)).alias("cell")).select(
         "recording_id", "source_id", "time", "ord", "cell.*"
     )
     present = F.col("value_num").isNotNull() | F.col("value_str").isNotNull()
@@ -166,17 +178,23 @@ def sort_timeline(df: DataFrame, sort: str = "ascending") -> DataFrame:
 
 
 def with_row_sequence(
-    df: DataFrame, group: list[str], sort: str = "source", chunks: int | None = None
+    df: DataFrame,
+    group: list[str],
+    sort: str = "source",
+    chunks: int | None = None,
+    time: str = "time",
+    ord: str = "ord",
+    name: str = "row",
 ) -> DataFrame:
     """Add ``row``: position from 0 in the final order of each recording."""
     if sort == "ascending":
-        keyed = df.withColumn("_late", F.col("time").isNull())
-        ranked = with_rank(keyed, group, ["_late", "time", "ord"], "row", chunks).drop("_late")
+        keyed = df.withColumn("_late", F.col(time).isNull())
+        ranked = with_rank(keyed, group, ["_late", time, ord], name, chunks).drop("_late")
     elif sort == "source":
-        ranked = with_rank(df, group, ["ord"], "row", chunks)
+        ranked = with_rank(df, group, [ord], name, chunks)
     else:
         raise ValueError(f"Unsupported timeline sort mode: {sort}")
-    return ranked.withColumn("row", F.col("row") - 1)
+    return ranked.withColumn(name, F.col(name) - 1)
 
 
 def first_present_field(df: DataFrame, fields: list[str]) -> str | None:

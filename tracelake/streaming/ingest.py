@@ -67,8 +67,10 @@ def ingest_folder(
     if _CORRUPT in rows.columns:
         good = rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
         if rejects:
+            # what could be read of a bad row is kept next to its text
+            read = F.to_json(F.struct(*[name for name in rows.columns if name != _CORRUPT])).alias("read")
             bad = rows.filter(F.col(_CORRUPT).isNotNull()).select(
-                F.col("_metadata.file_path").alias("file"), F.col(_CORRUPT).alias("text")
+                F.col("_metadata.file_path").alias("file"), F.col(_CORRUPT).alias("text"), read
             )
             _run(bad, rejects, None)
     signals = index_frame(good, mapping, as_column(recording_id), as_column(source_id), ord)

@@ -12,6 +12,7 @@ from tracelake.operators import quality as Q
 from tracelake.operators.index import index_frame
 from tracelake.operators.query import find_errors, low_battery
 from tracelake.plans import diagnostics as D
+from tracelake.session import materialize
 
 LIMITS = D.PRESETS["balanced"]
 
@@ -259,15 +260,17 @@ def missing_ratio(spark, sf):
 
 
 def event_inputs(spark, sf):
-    recordings = event_signals(spark, sf).select("recording_id", "source_id").distinct()
+    # the catalogue tables of a report are stored; its signals are scanned
+    recordings = materialize(event_signals(spark, sf).select("recording_id", "source_id").distinct(), "recordings")
     events = table(spark, sf, "events")
     profiles = P.field_profiles(events, "events", "event_id", ["ts", "user_id", "event_type", "value", "props"])
+    profiles = materialize(profiles, "profiles")
     keys = recordings.select("source_id", F.lit("ts").alias("time_key")).distinct()
     timelines = P.timeline_profiles(profiles, keys).withColumn("source_type", F.lit("csv"))
     return D.Inputs(
         recordings=recordings,
         signals=event_signals(spark, sf),
-        topics=finding_topics(spark, sf),
+        topics=materialize(finding_topics(spark, sf), "topics"),
         profiles=profiles,
         timelines=timelines,
     )

@@ -21,8 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-ROWS_PER_CHUNK = 2_000_000
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+ROWS_PER_CHUNK = 5_000_000
 MAX_CHUNKS = 20_000
 SAMPLES_PER_CHUNK = 20
 
@@ -32,9 +32,10 @@ _CHUNK = "_chunk"
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate, or None where the session does not give one."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
     except AttributeError:
         return None
+    return int(str(stats.sizeInBytes()))
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:

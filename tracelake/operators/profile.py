@@ -54,21 +54,25 @@ def monotonic(rows: DataFrame, group: list[str], ord: str, value: str) -> DataFr
     Order is checked inside chunks of source positions, then between the last and first values of chunks,
     so that a source of any size is spread over tasks.
     """
-    present = rows.select(
+    # no filter on the value: it would be computed a second time below the shuffle
+    keyed = rows.select(
         *group,
         F.shiftright(ord, _CHUNK_BITS).alias("_chunk"),
         F.col(ord).alias("_ord"),
         F.col(value).alias("_value"),
-    ).filter(F.col("_value").isNotNull())
-    fall = F.col("_value") < F.lag("_value").over(W.partitionBy(*group, "_chunk").orderBy("_ord"))
+    )
+    before = W.partitionBy(*group, "_chunk").orderBy("_ord").rowsBetween(W.unboundedPreceding, -1)
+    fall = F.col("_value") < F.last("_value", ignorenulls=True).over(before)
+    at = F.when(F.col("_value").isNotNull(), F.col("_ord"))
     chunks = (
-        present.withColumn("_fall", fall)
+        keyed.withColumn("_fall", fall)
         .groupBy(*group, "_chunk")
         .agg(
             F.max("_fall").alias("_fall"),
-            F.min_by("_value", "_ord").alias("_first"),
-            F.max_by("_value", "_ord").alias("_last"),
+            F.min_by("_value", at).alias("_first"),
+            F.max_by("_value", at).alias("_last"),
         )
+        .filter(F.col("_last").isNotNull())
     )
     jump = F.col("_first") < F.lag("_last").over(W.partitionBy(*group).orderBy("_chunk"))
     either = F.coalesce(F.col("_fall"), F.lit(False)) | F.coalesce(F.col("_jump"), F.lit(False))

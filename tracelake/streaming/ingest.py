@@ -59,9 +59,14 @@ def ingest_folder(
     ord: str | Column | None = None,
     options: dict | None = None,
     rejects: str | None = None,
+    partition_by: str | None = None,
 ):
     """Melt new files of a folder into the signals table, each file once; ``rejects`` names a folder for rows
-    that could not be read."""
+    that could not be read.
+
+    Files are appended unpartitioned unless ``partition_by`` names a column: every task would else write a file
+    per recording it meets. :func:`tracelake.plans.sinks.write_signals` stores them by recording in larger steps.
+    """
     rows = read_drop_folder(spark, folder, fmt, schema, options)
     good = rows
     if _CORRUPT in rows.columns:
@@ -74,7 +79,7 @@ def ingest_folder(
             )
             _run(bad, rejects, None)
     signals = index_frame(good, mapping, as_column(recording_id), as_column(source_id), ord)
-    return _run(signals, target, None, "recording_id")
+    return _run(signals, target, None, partition_by)
 
 
 def read_signal_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import is_small
+from tracelake.operators.ordered import BROADCAST_BYTES, is_small
 
 
 def in_project(signals: DataFrame, recordings: DataFrame, project_id: str) -> DataFrame:
     """Signals of the recordings of a project. The recordings side is a small catalogue in most projects: it is
     broadcast where its size estimate allows, else joined by shuffle."""
     wanted = recordings.filter(F.col("project_id") == project_id).select("recording_id")
-    return signals.join(F.broadcast(wanted) if is_small(wanted) else wanted, "recording_id", "left_semi")
+    return signals.join(F.broadcast(wanted) if is_small(wanted, BROADCAST_BYTES) else wanted, "recording_id", "left_semi")
 
 
 def with_sources(recordings: DataFrame, sources: DataFrame) -> DataFrame:

@@ -21,10 +21,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
 ROWS_PER_CHUNK = 5_000_000
 MAX_CHUNKS = 20_000
 SAMPLES_PER_CHUNK = 20
+# a side is broadcast only up to this estimate
+BROADCAST_BYTES = 16 * 1024 * 1024
+# tasks a hot group is spread over when per-group values are joined to its rows
+SALTS = 64
 
 _CHUNK = "_chunk"
 
@@ -240,6 +244,22 @@ def order_statistics(
     return found.groupBy(*group).agg(F.max("_total").alias("n"), *means)
 
 
+def join_to_groups(
+    rows: DataFrame, groups: DataFrame, keys: list[str], spread: str, salts: int | None = None
+) -> DataFrame:
+    """Join one row per group to the many rows of each group.
+
+    The rows of a group are spread over ``salts`` tasks by their ``spread`` column and the group row is repeated
+    for each, so a hot group does not meet in one task. Small inputs join as they are.
+    """
+    count = salts or (1 if is_small(rows) else SALTS)
+    if count == 1:
+        return rows.join(groups, keys)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(count)).cast("int"))
+    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def median_ranks(size: Column) -> list[Column]:
     return [F.floor((size + 1) / 2), F.floor(size / 2) + 1]
 

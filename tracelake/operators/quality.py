@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import float_or_none, value_text
 from tracelake.operators.ordered import (
+    join_to_groups,
     lower_hinge_ranks,
     median_ranks,
     order_statistics,
@@ -99,10 +100,8 @@ def iqr_outliers(rows: DataFrame, multiplier: float = 1.5, chunks: int | None =
         .withColumn("upper_bound", F.col("q3") + F.lit(float(multiplier)) * spread)
     )
     outside = (F.col("number") < F.col("lower_bound")) | (F.col("number") > F.col("upper_bound"))
-    # one bounds row per signal: adaptive execution splits a hot signal on the counted side
     return (
-        value_counts(rows)
-        .join(bounds, SIGNAL)
+        join_to_groups(value_counts(rows), bounds, SIGNAL, "number", chunks)
         .filter(outside)
         .groupBy(*SIGNAL, "sample_count", "q1", "q3", "lower_bound", "upper_bound")
         .agg(F.sum("n").alias("outlier_count"))

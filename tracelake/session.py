@@ -23,7 +23,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         # only where the cluster names none, as in tests on one machine
         base = tempfile.mkdtemp(prefix="tracelake-")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import with_rank
 from tracelake.schema import IMAGE_SUFFIXES
 from tracelake.sources.files import suffix_of
 
@@ -104,9 +104,8 @@ def keypoint_frames(documents: DataFrame) -> DataFrame:
         "file", "_image", "_at", "_p.*"
     ).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     labelled = points.withColumn("_label", F.coalesce(given("type"), given("label"), F.lit("point")))
-    # one row per label: a vocabulary, not data
     labels = labelled.groupBy("_label").agg(F.min("file").alias("_first"))
-    ids = labels.select("_label", F.row_number().over(W.orderBy("_first", "_label")).alias("class_id"))
+    ids = with_rank(labels, [], ["_first", "_label"], "class_id").select("_label", F.col("class_id").cast("int"))
     place = F.struct("_at", F.array("x", "y").alias("xy"))
     sets = labelled.groupBy("file", "_image", "_label").agg(F.array_sort(F.collect_list(place)).alias("_points"))
     item = F.struct(

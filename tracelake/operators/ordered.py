@@ -130,10 +130,15 @@ def _neighbour(
         return df.withColumn(name, shift(value).over(W.partitionBy(*group).orderBy(*order)))
     keys = group + [_CHUNK]
     local = chunked.withColumn(name, shift(value).over(W.partitionBy(*keys).orderBy(*order)))
-    edge = F.struct(*order, F.col(value).alias("_value"))
-    borders = chunked.groupBy(*keys).agg((F.min(edge) if forward else F.max(edge)).alias("_edge"))
-    across = shift("_edge._value").over(W.partitionBy(*group).orderBy(_CHUNK))
-    borders = borders.select(*keys, across.alias("_across"))
+    best = F.min if forward else F.max
+    if value == order[0]:
+        # the first row of a chunk has its least value: a hash aggregate finds it
+        edges = chunked.groupBy(*keys).agg(best(value).alias("_edge"))
+    else:
+        place = F.struct(*order, F.col(value).alias("_value"))
+        edges = chunked.groupBy(*keys).agg(best(place)["_value"].alias("_edge"))
+    across = shift("_edge").over(W.partitionBy(*group).orderBy(_CHUNK))
+    borders = edges.select(*keys, across.alias("_across"))
     joined = _join_on(local, borders, keys)
     return joined.withColumn(name, F.coalesce(name, "_across")).drop("_across", _CHUNK)
 

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalars import is_number
 from tracelake.session import configure
 
-# fixed values: delimiter name -> split pattern
+# fixed values: delimiter name -> character
 DELIMITERS = {"tab": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
-SPLIT_PATTERNS = {"tab": "\t", "comma": ",", "semicolon": ";", "pipe": r"\|", "whitespace": r"\s+"}
 
 
 def number_rows(df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +63,20 @@ def log_rows(lines: DataFrame) -> DataFrame:
     return lines.filter(~is_blank(F.col("text"))).withColumnRenamed("text", "message")
 
 
-def _parts(text: Column, delimiter: str) -> Column:
+# a cell of a line that reads as a number
+_NUMBER_CELL = (
+    r"(^|\s)[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?|(?i:nan|inf|infinity))(\s|$)"
+)
+
+
+def _width(text: Column, delimiter: str) -> Column:
+    """Number of cells of a line."""
     if delimiter == "whitespace":
-        return F.split(F.trim(text), SPLIT_PATTERNS[delimiter], -1)
+        return F.size(F.split(F.trim(text), r"\s+", -1))
     # a delimiter inside quotes does not count
-    return F.split(F.regexp_replace(F.trim(text), '"[^"]*"', '""'), SPLIT_PATTERNS[delimiter], -1)
+    bare = F.trim(text)
+    bare = F.when(bare.contains('"'), F.regexp_replace(bare, '"[^"]*"', '""')).otherwise(bare)
+    return F.length(bare) - F.length(F.replace(bare, F.lit(DELIMITERS[delimiter]), F.lit(""))) + 1
 
 
 def line_widths(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,12 +86,10 @@ def line_widths(lines: DataFrame, keys: list[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(name).alias("delimiter"),
-                F.size(_parts(text, name)).alias("width"),
-                (
-                    F.exists(_parts(text, name), is_number) if name == "whitespace" else F.lit(True)
-                ).alias("has_number"),
+                _width(text, name).alias("width"),
+                (text.rlike(_NUMBER_CELL) if name == "whitespace" else F.lit(True)).alias("has_number"),
             )
-            for name in SPLIT_PATTERNS
+            for name in (*DELIMITERS, "whitespace")
         ]
     )
     return (

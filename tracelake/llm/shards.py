@@ -86,7 +86,7 @@ def _cuts(placed: DataFrame, size: str, end: str, group: list[str], total: int,
         inside = inside | ((F.col(end) >= t) & (F.col(end) - F.col(size) < t))
     # at most one row for each target
     hit = placed.where(inside).select(*group).distinct()
-    names = [f"g{i}" for i in range(len(group))]
+    names = inner_names(placed, *[f"g{i}" for i in range(len(group))])
     hit = F.broadcast(hit.select(*[F.col(g).alias(n) for g, n in zip(group, names)]))
     same = F.lit(True)
     for g, n in zip(group, names):

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import checks
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -24,7 +25,7 @@ def key(row):
     return tuple((value is not None, str(type(value)), value) for value in row)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(checks.QUERIES))
 def test_query(spark, db, name):
     frame = QUERIES[name](spark, SF)
     columns = sorted(frame.columns)

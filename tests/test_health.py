@@ -159,7 +159,7 @@ def test_limits(spark):
     report = D.diagnose(inputs, limit=2)
     assert report.findings.count() == 2 and report.summary.first().finding_count == 30
     assert [json.loads(r.evidence)["time"] for r in report.findings.orderBy("id").collect()] == [0.0, 1.0]
-    assert D.diagnose(inputs, limit=2, compat_limit=True).summary.first().health_score == 40
+    assert D.diagnose(inputs).findings.count() == 30
     numbered = D.with_finding_ids(D.all_findings(inputs, D.PRESETS["balanced"]), chunks=5)
     assert {r.id for r in numbered.collect()} == {f"diag_{i:04d}" for i in range(1, 31)}
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import SENSOR_CSV
 from pyspark.sql import functions as F
@@ -15,30 +17,30 @@ from tracelake.sources import files as S
 
 @pytest.fixture(scope="module")
 def sensor(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("sensor") / "sample_sensor.csv"
+    path = tmp_path_factory.mktemp("sensor") / "sprayer.csv"
     path.write_text(SENSOR_CSV)
     return import_source(spark, str(path), "rec", "src")
 
 
 def test_import_infers_streams(sensor):
     streams = {row.name: row for row in sensor.streams.collect()}
-    assert streams["imu_a"].semantic_type == "scalar_group"
-    assert streams["imu_a"].source_fields == ["imu_ax", "imu_ay", "imu_az"]
-    assert streams["system_log"].source_fields == ["level", "message"]
-    assert streams["state"].semantic_type == "state" and streams["battery"].semantic_type == "scalar"
-    assert sensor.mapping["primary_timeline"] == "timestamp"
+    (group,) = [row for row in streams.values() if row.semantic_type == "scalar_group"]
+    assert group.source_fields == ["gyro_x", "gyro_y", "gyro_z"]
+    assert streams["system_log"].source_fields == ["severity", "msg"]
+    assert streams["mode"].semantic_type == "state" and streams["battery"].semantic_type == "scalar"
+    assert sensor.mapping["primary_timeline"] == "t"
     assert sensor.template_id == "sensor_monitor"
     assert sensor.report.first().valid
 
 
 def test_templates_on_sensor(sensor):
     signals = sensor.signals
-    assert Q.low_battery(signals, 0.925).count() == 2
-    custom = Q.custom_query(signals, key="battery", operator="lt", value=0.93, semantic_types=["scalar", "scalar_group"])
-    assert custom.count() == 2
+    assert Q.low_battery(signals, 0.35).count() == 2
+    custom = Q.custom_query(signals, key="battery", operator="lt", value=0.5, semantic_types=["scalar", "scalar_group"])
+    assert custom.count() == 3
     held = Q.state_duration(signals).orderBy("time").collect()
-    assert [r.state for r in held] == ["BOOT", "RUNNING", "RUNNING", "FAULT"]
-    assert [round(r.duration, 6) for r in held] == [0.1, 0.1, 0.1, 0.0]
+    assert [r.state for r in held] == ["IDLE", "IDLE", "SPRAY", "HALT", "IDLE"]
+    assert [r.duration for r in held] == [2.0, 3.0, 4.0, 4.0, 0.0]
     found = Q.find_errors(signals).select(value_text().alias("v")).collect()
     assert any("ERROR" in r.v for r in found)
 
@@ -46,15 +48,15 @@ def test_templates_on_sensor(sensor):
 def test_jsonl_import(spark, sensor_jsonl):
     done = import_source(spark, sensor_jsonl, "rec", "src")
     assert done.mapping["primary_timeline"] == "time"
-    assert "robot" in {row.name for row in done.streams.collect()}
-    assert Q.state_duration(done.signals).filter("key = 'state'").count() == 4
+    assert "arm" in {row.name for row in done.streams.collect()}
+    assert Q.state_duration(done.signals).filter("key = 'mode'").count() == 3
     errors = Q.run_template(done.signals, "find_errors").select(value_text().alias("v")).collect()
     assert any("ERROR" in r.v for r in errors)
 
 
 def test_log_import(spark, tmp_path):
     path = tmp_path / "run.log"
-    path.write_text("INFO boot complete\nWARN battery low\n\nERROR motor stalled\n")
+    path.write_text("INFO tank filled\nWARN charge low\n\nERROR nozzle blocked\n")
     done = import_source(spark, str(path), "rec", "src")
     assert done.mapping["primary_timeline"] == "line_number"
     rows = Q.find_errors(done.signals).filter("key = 'message'").orderBy("time").collect()
@@ -169,9 +171,9 @@ def test_state_duration_chunks(spark, chunks):
 def test_compare(spark, sensor):
     summary = {r.key: r for r in C.compare(sensor.signals, ["rec"], ["battery"]).collect()}
     battery = summary["battery"]
-    assert battery["count"] == 4 and battery.min == 0.91 and battery.max == 0.94 and battery.latest_num == 0.91
-    states = {r.state: r.n for r in C.compare(sensor.signals, mode="states").filter("key = 'state'").collect()}
-    assert states == {"BOOT": 1, "RUNNING": 2, "FAULT": 1}
+    assert battery["count"] == 5 and battery.min == 0.12 and battery.max == 0.81 and battery.latest_num == 0.4
+    states = {r.state: r.n for r in C.compare(sensor.signals, mode="states").filter("key = 'mode'").collect()}
+    assert states == {"IDLE": 3, "SPRAY": 1, "HALT": 1}
 
 
 def test_geometry_tables(spark):
@@ -200,15 +202,40 @@ def test_sinks(spark, sensor, tmp_path):
     K.write_signals(sensor.signals.withColumn("recording_id", F.lit("other")), str(tmp_path / "signals"))
     K.write_signals(sensor.signals.filter("key = 'battery'"), str(tmp_path / "signals"))
     counts = {r.recording_id: r["count"] for r in K.read_signals(spark, str(tmp_path / "signals")).groupBy("recording_id").count().collect()}
-    assert counts == {"rec": 4, "other": sensor.signals.count()}
-    one = Q.filter_recordings(K.read_signals(spark, str(tmp_path / "signals")), ["rec"])
+    assert counts == {"rec": 5, "other": sensor.signals.count()}
+    one = K.read_signals(spark, str(tmp_path / "signals"), ["rec"])
+    assert one.count() == 5
     assert "PartitionFilters: [" in one._jdf.queryExecution().executedPlan().toString()
-    K.export_query(Q.low_battery(sensor.signals, 0.925), str(tmp_path / "out.parquet"), "PARQUET")
+    K.export_query(Q.low_battery(sensor.signals, 0.35), str(tmp_path / "out.parquet"), "PARQUET")
     assert spark.read.parquet(str(tmp_path / "out.parquet")).columns == ["recording_id", "time", "entity_path", "key", "value"]
     mapping = sensor.mapping
     tables = build_tables(sensor.frame, mapping, "rec", "_ord")
     K.write_tables(tables, str(tmp_path / "built"))
-    assert spark.read.parquet(str(tmp_path / "built/states")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "built/states")).count() == 5
+
+
+def test_export_of_derived_results(spark, sensor, tmp_path):
+    five = ["recording_id", "time", "entity_path", "key", "value"]
+    for name in ("find_errors", "low_battery", "detection_failure", "topic_summary", "state_duration", "time_sync"):
+        K.export_query(Q.run_template(sensor.signals, name), str(tmp_path / name), "csv")
+        assert spark.read.option("header", True).csv(str(tmp_path / name)).columns in (five, [])
+    held = Q.result_columns(Q.run_template(sensor.signals, "state_duration")).collect()
+    assert [json.loads(r.value) for r in held][2] == {"state": "SPRAY", "duration": 4.0}
+    K.export_query(C.compare(sensor.signals, ["rec"], ["battery"]), str(tmp_path / "compared"), "parquet")
+    (row,) = spark.read.parquet(str(tmp_path / "compared")).collect()
+    assert json.loads(row.value)["max"] == 0.81
+
+
+def test_compaction(spark, sensor, tmp_path):
+    landed, store = str(tmp_path / "landed"), str(tmp_path / "store")
+    half = F.col("ord") <= 2
+    sensor.signals.filter(half).write.parquet(landed)
+    K.compact_signals(spark, landed, store, 4)
+    sensor.signals.filter(~half).write.mode("append").parquet(landed)
+    for _ in range(2):
+        K.compact_signals(spark, landed, store, 4)
+        assert K.read_signals(spark, store, buckets=4).exceptAll(sensor.signals).count() == 0
+        assert K.read_signals(spark, store, buckets=4).count() == sensor.signals.count()
 
 
 def test_many_files(spark, tmp_path):

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import BROADCAST_BYTES, is_small
-
 
 def in_project(signals: DataFrame, recordings: DataFrame, project_id: str) -> DataFrame:
-    """Signals of the recordings of a project. The recordings side is a small catalogue in most projects: it is
-    broadcast where its size estimate allows, else joined by shuffle."""
+    """Signals of the recordings of a project; how the two meet is left to the optimizer and its runtime sizes."""
     wanted = recordings.filter(F.col("project_id") == project_id).select("recording_id")
-    return signals.join(F.broadcast(wanted) if is_small(wanted, BROADCAST_BYTES) else wanted, "recording_id", "left_semi")
+    return signals.join(wanted, "recording_id", "left_semi")
 
 
 def with_sources(recordings: DataFrame, sources: DataFrame) -> DataFrame:
@@ -25,12 +22,14 @@ def unknown_recordings(requested: DataFrame, recordings: DataFrame) -> DataFrame
     return requested.select("recording_id").distinct().join(recordings, "recording_id", "left_anti")
 
 
-def newest_first(catalog: DataFrame, limit: int | None = 100, status: str | None = None, tie: str | None = None) -> DataFrame:
-    """Catalogue rows by creation time, newest first."""
+def newest_first(catalog: DataFrame, limit: int | None = None, status: str | None = None, tie: str | None = None) -> DataFrame:
+    """Catalogue rows by creation time, newest first: all of them, or the first ``limit``."""
+    if limit is not None and limit < 0:
+        raise ValueError("limit must not be negative")
     rows = catalog if status is None else catalog.filter(F.col("status") == status)
     order = [F.col("created_at").desc()] + ([F.col(tie).asc()] if tie else [])
     ordered = rows.orderBy(*order)
-    return ordered if limit is None else ordered.limit(max(1, min(int(limit), 1000)))
+    return ordered if limit is None else ordered.limit(int(limit))
 
 
 def ingest_rollup(items: DataFrame, batch: str = "batch_id") -> DataFrame:

@@ -30,27 +30,34 @@ _LONG_TEXT = 40
 
 
 def field_stats(
-    df: DataFrame, source_id: str | Column, ord: str, fields: list[str] | None = None, sample_rows: int | None = None
+    df: DataFrame, source_id: str | Column, ord: str, fields: list[str] | None = None
 ) -> DataFrame:
     """One row per (source, field) with what inference needs: counts, exact distinct count, share of values
     in [0, 1], median text length, share of date texts, and whether numbers never fall.
 
-    Distinct values are counted in two steps, combined before each shuffle. ``sample_rows`` limits a first
-    look at a large source; by default every row counts. The result is a small catalogue table that several
+    Distinct values are counted in two steps, combined before each shuffle, by the length and 128-bit
+    hash of a text: no whole text is shuffled as a key. The result is a small catalogue table that several
     steps read: write it once.
     """
-    frame = df.limit(sample_rows) if sample_rows else df
     named = fields or [name for name in df.columns if name != ord]
-    cells = long_cells(frame, source_id, ord, named)
+    cells = long_cells(df, source_id, ord, named)
     keys = ["source_id", "position"]
-    values = cells.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("number"))
-    filled = F.col("text").isNotNull()
-    size = F.when(filled, F.col("n")).otherwise(0)
-    lengths = values.groupBy(*keys, F.length("text").alias("length")).agg(
+    told = cells.select(
+        *keys,
+        "number",
+        F.length("text").alias("length"),
+        F.md5("text").alias("digest"),
+        parse_datetime(F.col("text")).isNotNull().alias("is_date"),
+    )
+    values = told.groupBy(*keys, "length", "digest", "is_date").agg(
+        F.count(F.lit(1)).alias("n"), F.max("number").alias("number")
+    )
+    size = F.when(F.col("digest").isNotNull(), F.col("n")).otherwise(0)
+    lengths = values.groupBy(*keys, "length").agg(
         F.sum("n").alias("row_count"),
         F.sum(size).alias("n"),
-        F.count("text").alias("distinct_count"),
-        F.sum(F.when(parse_datetime(F.col("text")).isNotNull(), F.col("n")).otherwise(0)).alias("dates"),
+        F.count("digest").alias("distinct_count"),
+        F.sum(F.when(F.col("is_date"), F.col("n")).otherwise(0)).alias("dates"),
         F.sum(F.when(F.col("number").between(0, 1), F.col("n")).otherwise(0)).alias("unit"),
     )
     stats = lengths.groupBy(*keys).agg(

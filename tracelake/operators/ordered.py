@@ -1,109 +1,35 @@
 """Ordered work on groups of any size: next and previous row, running totals, exact order statistics.
 
-A plain window sends each group to one task. Here a large input is first cut into chunks along the
-order ``group columns, order columns``, so that one group may span many tasks. The chunk of a row
-is a pure function of its key (a binary search in a literal list of split points), hence every branch of
-a plan and every retried task agrees on it. Rows are shuffled once by (group, chunk); what crosses chunk
-borders is settled on one row per (group, chunk).
-
-Inputs whose size estimate is below ``SMALL_INPUT_BYTES`` fit one task as a whole and take the plain window.
-For larger inputs the row count and a sample of the keys are read first, as a range partitioner does; the
-sample only places the borders, no row is left out.
+A plain window sends each group to one task. Here the rows are first ranged by ``group columns, order columns`` and
+written to the shared folder with the number of their range as the chunk, so that one group may span many chunks, every
+later reader and every retried task sees the same chunks, and the input is read once. Windows run inside (group, chunk);
+what crosses chunk borders is settled on one row per (group, chunk). There is one way for inputs of every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-ROWS_PER_CHUNK = 5_000_000
-MAX_CHUNKS = 20_000
-SAMPLES_PER_CHUNK = 20
-# a side is broadcast only up to this estimate
-BROADCAST_BYTES = 16 * 1024 * 1024
-# tasks a hot group is spread over when per-group values are joined to its rows
-SALTS = 64
-
-_CHUNK = "_chunk"
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None where the session does not give one."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-    except AttributeError:
-        return None
-    return int(str(stats.sizeInBytes()))
-
 
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
-def chunk_count(df: DataFrame, chunks: int | None = None) -> tuple[int, int]:
-    """(number of chunks, number of rows or 0 if it was not needed)."""
-    if chunks is None and is_small(df):
-        return 1, 0
-    rows = df.count()
-    wanted = chunks if chunks is not None else math.ceil(rows / ROWS_PER_CHUNK)
-    return max(1, min(wanted, MAX_CHUNKS)), rows
+from tracelake.session import materialize
 
+# tasks a hot group is spread over when per-group values are joined to its rows
+SALTS = 16
 
-def split_points(df: DataFrame, keys: list[str], chunks: int, rows: int) -> list[str]:
-    """Sampled keys, as JSON texts in key order, that cut the rows into about equal chunks."""
-    fraction = min(1.0, chunks * SAMPLES_PER_CHUNK / max(rows, 1))
-    sample = (
-        df.select(*keys)
-        .sample(fraction=fraction, seed=17)
-        .distinct()
-        .orderBy(*keys)
-        .select(F.to_json(F.struct(*keys)).alias("point"))
-        .collect()
-    )
-    step = max(1, len(sample) // chunks)
-    return [row.point for row in sample[step::step]][: chunks - 1]
-
-
-def chunk_of(points: list[str], keys: list[str], schema: T.StructType) -> Column:
-    """Number of split points not above the key, by binary search in a literal array."""
-    if not points:
-        return F.lit(0)
-    fields = T.StructType([T.StructField(name, schema[name].dataType) for name in keys])
-    table = F.from_json(F.lit("[" + ",".join(points) + "]"), T.ArrayType(fields))
-    key = F.struct(*keys)
-
-    def step(state: Column, _: Column) -> Column:
-        middle = F.shiftright(state["lo"] + state["hi"], 1)
-        passed = F.get(table, middle) <= key
-        open_ = state["lo"] < state["hi"]
-        return F.struct(
-            F.when(open_ & passed, middle + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(open_ & ~passed, middle).otherwise(state["hi"]).alias("hi"),
-        )
+_CHUNK = "_chunk"
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(points)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(points).bit_length()))
-    return F.aggregate(steps, start, step, lambda state: state["lo"])
 
+def with_chunks(df: DataFrame, keys: list[str], chunks: int | None = None) -> DataFrame:
+    """The rows, written once, with the chunk each is in; chunks follow the order of ``keys`` (nulls first).
 
-def with_chunks(
-    df: DataFrame, keys: list[str], chunks: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Add the chunk column where the input needs more than one; tells whether it did."""
-    wanted, rows = chunk_count(df, chunks)
-    if wanted == 1:
-        return df, False
-    points = split_points(df, keys, wanted, rows)
-    if not points:
-        return df, False
-    return df.withColumn(_CHUNK, chunk_of(points, keys, df.schema)), True
+    ``chunks`` asks for so many; by default there are as many as shuffle partitions, joined where they are small.
+    """
+    order = [F.col(name).asc_nulls_first() for name in keys]
+    ranged = df.repartitionByRange(chunks, *order) if chunks else df.repartitionByRange(*order)
+    return materialize(ranged.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,9 +51,7 @@ def _neighbour(
     forward: bool,
 ) -> DataFrame:
     shift = F.lead if forward else F.lag
-    chunked, split = with_chunks(df, group + order, chunks)
-    if not split:
-        return df.withColumn(name, shift(value).over(W.partitionBy(*group).orderBy(*order)))
+    chunked = with_chunks(df, group + order, chunks)
     keys = group + [_CHUNK]
     local = chunked.withColumn(name, shift(value).over(W.partitionBy(*keys).orderBy(*order)))
     best = F.min if forward else F.max
@@ -161,25 +85,23 @@ def with_rank(
     df: DataFrame, group: list[str], order: list[str], name: str, chunks: int | None = None
 ) -> DataFrame:
     """Add ``name``: the position of the row in its group, counted from 1."""
-    chunked, split = with_chunks(df, group + order, chunks)
-    if not split:
-        rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-        return df.withColumn(name, rank.cast("bigint"))
+    chunked = with_chunks(df, group + order, chunks)
     keys = group + [_CHUNK]
     local = chunked.withColumn(
         name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")
     )
     joined = _join_on(local, _offsets(chunked, group, F.count(F.lit(1))), keys)
-    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_before", "_total", _CHUNK)
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_before", "_size", "_total", _CHUNK)
 
 
 def _offsets(chunked: DataFrame, group: list[str], size: Column) -> DataFrame:
-    """Per (group, chunk): rows in earlier chunks of the group and rows of the whole group."""
+    """Per (group, chunk): its rows, those in earlier chunks of the group, and those of the whole group."""
     keys = group + [_CHUNK]
     sizes = chunked.groupBy(*keys).agg(size.alias("_size"))
     by_chunk = W.partitionBy(*group).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     return sizes.select(
         *keys,
+        "_size",
         F.coalesce(F.sum("_size").over(by_chunk), F.lit(0)).alias("_before"),
         F.sum("_size").over(W.partitionBy(*group)).alias("_total"),
     )
@@ -208,43 +130,23 @@ def order_statistics(
             ]
         )
 
-    chunked, split = with_chunks(counted, group + [value], chunks)
-    if not split:
-        running = W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        placed = counted.select(
-            *group,
-            F.col(value).alias("_value"),
-            F.col(weight).alias("_weight"),
-            F.sum(weight).over(running).alias("_upto"),
-            F.sum(weight).over(W.partitionBy(*group)).alias("_total"),
-        )
-        hit = F.filter(
-            picks(F.col("_total")),
-            lambda pick: (pick["rank"] <= F.col("_upto")) & (pick["rank"] > F.col("_upto") - F.col("_weight")),
-        )
-        found = placed.select(*group, "_value", "_total", F.explode(hit).alias("_pick"))
-    else:
-        keys = group + [_CHUNK]
-        sizes = _offsets(chunked, group, F.sum(weight))
-        size_of = chunked.groupBy(*keys).agg(F.sum(weight).alias("_size"))
-        targets = (
-            _join_on(size_of, sizes, keys)
-            .select("*", F.explode(picks(F.col("_total"))).alias("_pick"))
-            .filter(
-                (F.col("_pick.rank") > F.col("_before"))
-                & (F.col("_pick.rank") <= F.col("_before") + F.col("_size"))
-            )
-            .groupBy(*keys, "_before", "_total")
-            .agg(F.collect_list("_pick").alias("_picks"))
-        )
-        rows = _join_on(chunked, targets, keys).filter(F.col("_picks").isNotNull())
-        running = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        rows = rows.withColumn("_upto", F.sum(weight).over(running) + F.col("_before"))
-        hit = F.filter(
-            "_picks",
-            lambda pick: (pick["rank"] <= F.col("_upto")) & (pick["rank"] > F.col("_upto") - F.col(weight)),
-        )
-        found = rows.select(*group, F.col(value).alias("_value"), "_total", F.explode(hit).alias("_pick"))
+    chunked = with_chunks(counted, group + [value], chunks)
+    keys = group + [_CHUNK]
+    sizes = _offsets(chunked, group, F.sum(weight))
+    targets = (
+        sizes.select("*", F.explode(picks(F.col("_total"))).alias("_pick"))
+        .filter((F.col("_pick.rank") > F.col("_before")) & (F.col("_pick.rank") <= F.col("_before") + F.col("_size")))
+        .groupBy(*keys, "_before", "_total")
+        .agg(F.collect_list("_pick").alias("_picks"))
+    )
+    rows = _join_on(chunked, targets, keys).filter(F.col("_picks").isNotNull())
+    running = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_upto", F.sum(weight).over(running) + F.col("_before"))
+    hit = F.filter(
+        "_picks",
+        lambda pick: (pick["rank"] <= F.col("_upto")) & (pick["rank"] > F.col("_upto") - F.col(weight)),
+    )
+    found = rows.select(*group, F.col(value).alias("_value"), "_total", F.explode(hit).alias("_pick"))
     means = [F.avg(F.when(F.col("_pick.tag") == name, F.col("_value"))).alias(name) for name in wanted]
     return found.groupBy(*group).agg(F.max("_total").alias("n"), *means)
 
@@ -255,11 +157,9 @@ def join_to_groups(
     """Join one row per group to the many rows of each group.
 
     The rows of a group are spread over ``salts`` tasks by their ``spread`` column and the group row is repeated
-    for each, so a hot group does not meet in one task. Small inputs join as they are.
+    for each, so a hot group does not meet in one task.
     """
-    count = salts or (1 if is_small(rows) else SALTS)
-    if count == 1:
-        return rows.join(groups, keys)
+    count = salts or SALTS
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(count)).cast("int"))
     repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

@@ -19,11 +19,19 @@ def canonical_order() -> list[Column]:
     return [F.col(name).asc_nulls_first() for name in ("recording_id", "time", "entity_path", "key", "ord")]
 
 
-def in_order(df: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """Canonical order, at most ``limit`` rows (``None`` for all); a limited sort keeps only the top rows."""
+def _order_of(df: DataFrame) -> list[Column]:
+    """Canonical order by what a result has of it, then by its other columns, so that it is one order."""
+    names = ["recording_id", "time", "entity_path", "key", "ord"]
+    rest = [f.name for f in df.schema.fields if f.name not in names and f.dataType.typeName() not in ("map", "variant")]
+    return [F.col(f"`{name}`").asc_nulls_first() for name in [*[n for n in names if n in df.columns], *rest]]
+
+
+def in_order(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Canonical order, all rows or the first ``limit``; a limited sort keeps only the top rows."""
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    ordered = df.orderBy(*canonical_order())
+    whole = set(("recording_id", "time", "entity_path", "key", "ord")) <= set(df.columns)
+    ordered = df.orderBy(*(canonical_order() if whole else _order_of(df)))
     return ordered if limit is None else ordered.limit(limit)
 
 
@@ -32,16 +40,32 @@ def with_canonical_position(df: DataFrame, name: str = "position", chunks: int |
     return with_rank(df, [], ["recording_id", "time", "entity_path", "key", "ord"], name, chunks)
 
 
+# what a derived result tells about a row beside its place
+_PLACE = ("recording_id", "time", "entity_path", "key", "ord")
+
+
 def result_columns(df: DataFrame) -> DataFrame:
-    """The five columns of a query result; the value as text."""
-    return df.select("recording_id", "time", "entity_path", "key", value_text().alias("value"))
+    """The five columns of any query result, with the value as text.
+
+    Signal rows give their own value. Rows of a derived result (state durations, topic clocks, comparisons) give one
+    object: all columns that are not part of the place, as JSON in column order. A place column that a result lacks
+    is null.
+    """
+    place = [
+        (F.col(name) if name in df.columns else F.lit(None).cast("double" if name == "time" else "string")).alias(name)
+        for name in _PLACE[:4]
+    ]
+    if {"value_type", "value_num", "value_str"} <= set(df.columns):
+        return df.select(*place, value_text().alias("value"))
+    told = [name for name in df.columns if name not in _PLACE]
+    return df.select(*place, F.to_json(F.struct(*[F.col(f"`{name}`") for name in told])).alias("value"))
 
 
 # ---- scope ---------------------------------------------------------------------
 
 
 def filter_recordings(signals: DataFrame, recording_ids: list[str] | None) -> DataFrame:
-    """Rows of the named recordings; the partition column prunes the scan."""
+    """Rows of the named recordings; :func:`tracelake.plans.sinks.read_signals` also skips the other folders."""
     return signals.filter(F.col("recording_id").isin(*recording_ids)) if recording_ids else signals
 
 
@@ -196,9 +220,9 @@ def run_template(
     template_id: str,
     recording_ids: list[str] | None = None,
     params: dict | None = None,
-    limit: int | None = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Run a template by its name; the result is in canonical order and has at most ``limit`` rows."""
+    """Run a template by its name; the result is in canonical order, all of it or the first ``limit`` rows."""
     from tracelake.operators.topics import time_sync
 
     params = params or {}

@@ -37,13 +37,12 @@ def import_source(
     source_id: str,
     options: dict | None = None,
     timeline_sort: str = "source",
-    sample_rows: int | None = None,
 ) -> Imported:
-    """Import one tabular source. ``sample_rows`` limits the first look that infers streams."""
+    """Import one tabular source."""
     frame = load_source(spark, path, options)
     fields = [name for name in frame.columns if name not in (ORD, "_file")]
     # small catalogue tables, read by several steps below
-    stats = materialize(I.field_stats(frame, source_id, ORD, fields, sample_rows), "field-stats")
+    stats = materialize(I.field_stats(frame, source_id, ORD, fields), "field-stats")
     profiles = materialize(field_profiles(frame, source_id, ORD, fields), "field-profiles")
     log = fields == ["line_number", "message"]
     timelines = I.detect_timeline(stats)

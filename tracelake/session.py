@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on: UTC clocks and a split layout that two reads of one file agree on.
+    """Pin what results depend on, on request: UTC clocks and a split layout that two reads of one file agree on.
 
     ``spark.sql.files.minPartitionNum`` otherwise follows the number of live cores, so the splits of a
-    small file could change between two scans of one job while executors come and go.
+    small file could change between two scans of one job while executors come and go. No reader calls this.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
@@ -25,14 +24,27 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        # only where the cluster names none, as in tests on one machine
-        base = tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a result that several later steps read, and read it back from the shared folder."""
+    """Write a result that several later steps read, and read it back from the shared folder.
+
+    The folder belongs to the caller's checkpoint folder and lives as long as that is kept; :func:`discard` removes
+    one earlier.
+    """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame that :func:`materialize` gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if base and base.split(":", 1)[-1].rstrip("/") in folder:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

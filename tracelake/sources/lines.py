@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.session import configure
+from tracelake.session import materialize
+
 
 # fixed values: delimiter name -> character
 DELIMITERS = {"tab": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
 
 
 def number_rows(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of each file from 1, in file order, without sorting or shuffling rows.
+    """Number the rows of each file from 1, in file order, without sorting rows.
 
     Rows of one split come in order, so a running id gives the place inside the split; one count per split
-    gives the rows before it. Needs the columns ``file``, ``block`` (start of the split) and ``place`` (running id).
+    gives the rows before it. The counts, one row per split, are written once to the shared folder, so the join sees
+    how small they are. Needs the columns ``file``, ``block`` (start of the split) and ``place`` (running id). Both scans
+    must cut files alike: call :func:`tracelake.session.configure` once where executors come and go.
     """
     splits = df.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("place").alias("_first"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -26,6 +29,7 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
         "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
+    offsets = materialize(offsets, "splits")
     same = (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
     numbered = df.join(offsets, same).withColumn(name, F.col("_before") + F.col("place") - F.col("_first") + 1)
     return numbered.drop("_file", "_block", "_first", "_before", "block", "place")
@@ -33,7 +37,6 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, line_number, text)`` of text files; every line counts, blank ones too."""
-    configure(spark)
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),

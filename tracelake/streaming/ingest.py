@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from tracelake.operators.index import as_column, index_frame
 from tracelake.schema import SIGNAL_SCHEMA
-from tracelake.session import configure
 
 _CORRUPT = "_corrupt_record"
 
@@ -35,7 +34,6 @@ def _run(stream: DataFrame, target: str, checkpoint: str | None, partition: str
 def read_drop_folder(spark: SparkSession, folder: str, fmt: str, schema, options: dict | None = None) -> DataFrame:
     """Stream of the rows of new files. JSON and CSV rows that do not fit the schema keep their text in
     ``_corrupt_record``."""
-    configure(spark)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     reader = spark.readStream.format(fmt)
@@ -65,7 +63,7 @@ def ingest_folder(
     that could not be read.
 
     Files are appended unpartitioned unless ``partition_by`` names a column: every task would else write a file
-    per recording it meets. :func:`tracelake.plans.sinks.write_signals` stores them by recording in larger steps.
+    per recording it meets. :func:`tracelake.plans.sinks.compact_signals` moves them into the store in larger steps.
     """
     rows = read_drop_folder(spark, folder, fmt, schema, options)
     good = rows

@@ -238,7 +238,7 @@ def spark_hash(*values):
     return signed(seed)
 
 
-def plain_removal(docs, divisor=2, chunk_chars=40, passage_chars=100, share=0.4):
+def plain_removal(docs, divisor=2, chunk_chars=40, passage_chars=100, share=0.4, span=0.7):
     """(id, text) rows to (id, text, removed) by loops over all chunks."""
     chunks, first = {}, {}
     for id, text in docs:
@@ -252,19 +252,21 @@ def plain_removal(docs, divisor=2, chunk_chars=40, passage_chars=100, share=0.4)
             body = "".join(own[a:b])
             if len(body) >= chunk_chars:
                 key = "\n".join(x.strip(" ") for x in own[a:b])
-                chunks.setdefault(rid, {})[a] = (b, len(body), key, len(text))
+                chunks.setdefault(rid, {})[a] = (b, len(body), key, len(text), len(own))
                 first[key] = min(first.get(key, (rid, a, 0)), (rid, a, len(text)))
     out = []
     for id, text in docs:
         rid = spark_hash(id, text) if text else None
         mine = sorted((a, *c) for a, c in chunks.get(rid, {}).items())
-        drops = [(a, b, n, first[k], size) for a, b, n, k, size in mine if first[k][:2] != (rid, a)]
-        shared = {}
-        for a, b, n, k, size in mine:
+        drops = [(a, b, n) for a, b, n, k, _, _ in mine if first[k][:2] != (rid, a)]
+        by_other = {}
+        for a, b, n, k, size, count in mine:
             if first[k][0] != rid:
-                shared.setdefault(first[k][0], [0, max(size, first[k][2])])[0] += n
-        if any(n / longer >= share for n, longer in shared.values()):
-            drops = []
+                by_other.setdefault(first[k][0], []).append((a, b, n, max(size, first[k][2]), count))
+        for found in by_other.values():
+            reach = max(x[1] for x in found) - min(x[0] for x in found)
+            if reach >= span * found[0][4] and sum(x[2] for x in found) / found[0][3] >= share:
+                drops = []
         runs = []
         for d in drops:
             if runs and d[0] - runs[-1][-1][1] <= 3:
@@ -295,7 +297,8 @@ def passage(rng, sentences):
 def test_lines_find_passages(frame):
     rng = random.Random(11)
     shared = passage(rng, 10)
-    texts = [f"{passage(rng, 20)} some words {shared} {passage(rng, 20)}" for _ in range(30)]
+    # in long documents, and in ones that are little more than the passage
+    texts = [f"{passage(rng, 20 if i % 2 else 3)} some words {shared} {passage(rng, 20 if i % 2 else 3)}" for i in range(30)]
     clean = [passage(rng, 30) for _ in range(30)]
     copies = [passage(rng, 30)] * 5
     got = {r.doc_id: r for r in lines.remove_repeated(frame(texts + clean + copies)).collect()}

@@ -319,3 +319,17 @@ def test_lines_edges(spark, frame):
     cut = lines.remove_repeated(docs, copy_share=1.1).where("doc_id in (3, 6)").collect()
     assert sorted(len(r.text) < 1000 for r in cut) in ([False, False, True], [False, True, True])
     assert lines.remove_repeated(frame([])).count() == 0
+
+
+def test_lines_cut_copies_and_frames(frame):
+    rng = random.Random(13)
+    shared, body, tail = passage(rng, 8), passage(rng, 60), passage(rng, 1)
+    # near copies that hold a passage of other documents, and pages with one header and footer round other bodies
+    copies = [f"{body} some words {shared} {passage(rng, 1)} {tail}" for _ in range(3)]
+    others = [f"{passage(rng, 20)} some words {shared} {passage(rng, 20)}" for _ in range(12)]
+    head, foot = passage(rng, 14), passage(rng, 14)
+    pages = [f"{head} {passage(rng, 12)} {foot}" for _ in range(6)]
+    got = {r.doc_id: r for r in lines.remove_repeated(frame(copies + others + pages)).collect()}
+    assert sum(shared in got[i].text for i in range(15)) <= 1
+    assert all(body[200:-200] in got[i].text for i in range(3))
+    assert sum(got[i].removed_chars > len(head + foot) / 2 for i in range(15, 21)) == 5

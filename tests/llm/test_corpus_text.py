@@ -333,3 +333,46 @@ def test_lines_cut_copies_and_frames(frame):
     assert sum(shared in got[i].text for i in range(15)) <= 1
     assert all(body[200:-200] in got[i].text for i in range(3))
     assert sum(got[i].removed_chars > len(head + foot) / 2 for i in range(15, 21)) == 5
+
+
+@pytest.mark.parametrize("border", ["word", "sentence", "short line", "no stops"])
+def test_lines_find_short_passages_whole(frame, border):
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    own = words(51)
+    if border != "no stops":
+        own = [w + "." if i % 9 == 4 else w for i, w in enumerate(own)]
+    shared = (" ".join(own) + ".") if border == "sentence" else "\n".join(" ".join(own[i : i + 3]) for i in range(0, 51, 3)) if border == "short line" else " ".join(own)
+    join = {"sentence": " ", "short line": "\n"}.get(border, " ")
+    texts = []
+    for _ in range(12):
+        before, after = passage(rng, 8), passage(rng, 8)
+        before, after = (before, after) if border in ("sentence", "short line") else (before + " tail " + " ".join(words(3)), " ".join(words(2)) + " on " + after)
+        texts.append((before, after))
+    got = {r.doc_id: r for r in lines.remove_repeated(frame([f"{a}{join}{shared}{join}{b}" for a, b in texts])).collect()}
+    assert sum(shared in got[i].text for i in range(12)) == 1
+    # all the others have lost exactly the passage
+    assert sum(got[i].text in (f"{a}{join}{b}", f"{a} {b}") for i, (a, b) in enumerate(texts)) == 11
+
+
+def test_lines_leave_fewer_words(frame):
+    rng = random.Random(15)
+    shared = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(49))
+    texts = [f"{passage(rng, 8)} {rng.random()} {shared} {rng.random()} {passage(rng, 8)}" for _ in range(4)]
+    assert all(r.text == texts[r.doc_id] and r.removed_chars == 0 for r in lines.remove_repeated(frame(texts)).collect())
+
+
+def test_lines_repeat_within_a_document(frame):
+    rng = random.Random(16)
+    part = passage(rng, 7)
+    texts = [" ".join([part, passage(rng, 3)] * 5), "ab " * 5000, passage(rng, 20)]
+    got = {r.doc_id: r for r in lines.remove_repeated(frame(texts)).collect()}
+    assert got[0].text.count(part) == 1 and 0 < len(got[1].text) < 200 and got[2].text == texts[2]
+
+
+def test_anchors_are_few_and_in_every_passage(spark, frame):
+    rng = random.Random(17)
+    text = " ".join(rng.choices("the of and in to is for on by it".split(), k=5000))
+    row = frame([text]).select(lines.anchors_of(F.col("text"), 30, 50).alias("c")).first()
+    places = sorted(c.a for c in row.c)
+    assert len(places) < 5000 / 6 and places[0] <= 20 and max(b - a for a, b in zip(places, places[1:])) <= 21

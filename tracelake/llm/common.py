@@ -44,21 +44,13 @@ def inner_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shingle_set(text: Column, words: int) -> Column:
-    """Hashes of the different runs of ``words`` words of a text, ASCII letters without case; of all of it if it has fewer."""
+def shingles_of(text: Column, words: int) -> Column:
+    """Hashes of all runs of ``words`` words of a text, ASCII letters without case; of all of it if it has fewer."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # a let: the words are cut once
-    known = F.array(F.filter(F.split(lower, "[ \\t-\\r]+"), lambda w: w != ""))
-    return F.flatten(
-        F.transform(
-            known,
-            lambda own: F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, words))
-                )
-            ),
-        )
-    )
+    known = F.array(F.transform(F.filter(F.split(lower, "[ \\t-\\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    places = lambda own: F.sequence(F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1)))
+    return F.flatten(F.transform(known, lambda own: F.transform(places(own), lambda i: F.xxhash64(F.slice(own, i, words)))))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

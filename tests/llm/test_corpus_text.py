@@ -117,6 +117,33 @@ def test_disguises(text, hidden):
     assert set(base) <= set(found)
 
 
+@pytest.mark.parametrize(
+    "text, hidden",
+    [
+        ("call plus 49 171 1234567 now", "plus 49 171 1234567"),
+        ("call +1 555 dash 123 dash 4567 now", "+1 555 dash 123 dash 4567"),
+        ("call +1 555 hyphen 123 minus 4567 now", "+1 555 hyphen 123 minus 4567"),
+        ("call +49 30 12345 six", "+49 30 12345 six"),
+        ("+1 five.five.five.two.three.four.seven.eight.nine.zero", "+1 five.five.five.two.three.four.seven.eight.nine.zero"),
+        ("mail jane at host.uk ok", "jane at host.uk"),
+        ("mail jane at mail.example.info ok", "jane at mail.example.info"),
+        ("mail jane at host.xn--p1ai ok", "jane at host.xn--p1ai"),
+    ],
+)
+def test_disguises_without_other_hints(text, hidden):
+    assert hidden in [text[a:b] for a, b, _ in pii.identifiers(text)[1]]
+
+
+def test_every_step_is_hinted():
+    rng = random.Random(18)
+    words = [*pii.DIGITS, *pii.AT_WORDS, *pii.DOT_WORDS, *pii.DASH_WORDS, *pii.PLUS_WORDS, "@", ".", "[", "]", "(", ")", "5", "host", "com", "UK"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", " ", "  ", "-", ".", ", ", "\n", "\t"]) for _ in range(rng.randint(1, 6)))
+        text = rng.choice([text, text.upper()])
+        changed = pii._disguises(text, list(range(len(text))), list(range(1, len(text) + 1)))[0] != text
+        assert pii.hinted(text) == (pii.STEP.search(text) is not None) and (pii.hinted(text) or not changed)
+
+
 @pytest.mark.parametrize("text", ["look at this dot", "the one at home", "one two three", "heat at the end.", "é è à", "(at) [dot]"])
 def test_clean_text_stays_clean(text):
     assert pii.identifiers(text) == ([], [])

@@ -113,7 +113,7 @@ _any_digit = _words(DIGIT_WORDS, OTHER_DIGITS)
 STEP = re.compile(
     rf"(?P<at>\s{{0,3}}(?:[\[({{<]\s{{0,3}}(?:{_words(AT_WORDS)}|@)\s{{0,3}}[\])}}>])\s{{0,3}})"
     rf"|(?P<dot>\s{{0,3}}(?:[\[({{<]\s{{0,3}}(?:{_words(DOT_WORDS)}|\.)\s{{0,3}}[\])}}>])\s{{0,3}})"
-    rf"|(?P<wide_at>(?<=\S)\s{{1,3}}(?:{_words(AT_WORDS)})\s{{1,3}}(?=[A-Za-z0-9-]+(?:\s{{0,3}}[\[({{<]\s{{0,3}}|\s{{1,3}})(?:{_words(DOT_WORDS)})\b|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|io|de|fr|es)\b))"
+    rf"|(?P<wide_at>(?<=\S)\s{{1,3}}(?:{_words(AT_WORDS)})\s{{1,3}}(?=[A-Za-z0-9-]+(?:\s{{0,3}}[\[({{<]\s{{0,3}}|\s{{1,3}})(?:{_words(DOT_WORDS)})\b|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:[A-Za-z]{{2,63}}|xn--[A-Za-z0-9-]{{1,59}})\b))"
     rf"|(?P<wide_dot>(?<=[A-Za-z0-9])\s{{1,3}}(?:{_words(DOT_WORDS)})\s{{1,3}}(?=[A-Za-z0-9]))"
     rf"|(?P<spaced_at>(?<=[A-Za-z0-9])[ \t]{{1,3}}@[ \t]{{1,3}}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]{{1,3}}@(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]{{1,3}}(?=[A-Za-z0-9]))"
     rf"|(?P<digit>\b(?:{_any_digit})\b)"
@@ -122,26 +122,16 @@ STEP = re.compile(
     re.IGNORECASE,
 )
 DIGITS = {w: str(i) for i, w in enumerate(DIGIT_WORDS)} | OTHER_DIGITS
-DIGIT_SET, AT_SET = frozenset(DIGITS), frozenset(AT_WORDS)
 SIGN_OF = {"at": "@", "wide_at": "@", "spaced_at": "@", "dot": ".", "wide_dot": ".", "dash": "-", "plus": "+"}
 
 
-BRACKETED = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_words(AT_WORDS, DOT_WORDS)}|@|\.)\s{{0,3}}[\])}}>]", re.IGNORECASE)
-ENDINGS = (".com", ".org", ".net", ".edu", ".gov", ".io", ".de", ".fr", ".es")
+# every alternative of a step holds one of these; most texts have none and are spared the longer search
+MARKS = re.compile(rf"[@\[({{<]|\b(?:{_words(AT_WORDS, DOT_WORDS, DASH_WORDS, PLUS_WORDS)}|{_any_digit})\b", re.IGNORECASE)
 
 
 def hinted(text: str) -> bool:
-    """Whether a step of the transducer may apply; plain searches, as most texts have no disguise at all."""
-    low = text.lower()
-    if any(w in low for w in DOT_WORDS) or " @" in low or "@ " in low or "\t@" in low or "@\t" in low:
-        return True
-    if any(c in low for c in "[({<") and BRACKETED.search(low):
-        return True
-    words = low.split()
-    if not AT_SET.isdisjoint(words) and any(e in low for e in ENDINGS):
-        return True
-    joined = any(w + c in low for w in DIGITS for c in "-,)")
-    return joined or not DIGIT_SET.isdisjoint(words) and sum(w in DIGIT_SET for w in words) >= 2
+    """Whether a step of the transducer applies."""
+    return MARKS.search(text) is not None and STEP.search(text) is not None
 
 
 def _letters(text: str, starts: list[int], ends: list[int]) -> tuple[str, list[int], list[int]]:

@@ -18,7 +18,7 @@ CUSTOMERS = "select c_custkey, c_name, c_acctbal, c_custkey % 2 = 0 as even from
 
 def _customers(spark, sf, columns, even):
     rows = table(spark, sf, "customer").filter((F.col("c_custkey") % 2 == 0) == even)
-    return rows.select(*columns, F.lit(even).alias("even")).coalesce(1)
+    return rows.select(*columns, F.lit(even).alias("even"))
 
 
 @check("csv_roundtrip", CUSTOMERS)
@@ -70,8 +70,9 @@ def _ragged(spark, sf):
     line = F.when(F.col("o_orderkey") % 50 == 0, F.concat(full, F.lit(",more"))).when(
         F.col("o_orderkey") % 70 == 0, F.concat_ws(",", key, F.col("o_orderstatus"))
     )
-    rows = table(spark, sf, "orders").orderBy(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey") % 70 == 0, "o_orderkey")
-    rows.coalesce(1).select(F.coalesce(line, full).alias("value")).write.text(drop)
+    # every file starts with a full line
+    rows = table(spark, sf, "orders").sortWithinPartitions(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey") % 70 == 0, "o_orderkey")
+    rows.select(F.coalesce(line, full).alias("value")).write.text(drop)
     return f"{drop}/*.txt", {"header_mode": "no_header", "column_names": ["k", "status", "customer"]}
 
 

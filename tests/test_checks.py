@@ -2,9 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import checks
+from checks import files
+from tracelake.session import work_dir
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -40,3 +43,21 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["csv_roundtrip", "text_roundtrip", "csv_short_lines", "csv_rejects"])
+def test_file_queries_write_many_files(spark, monkeypatch, name):
+    """A table of many partitions goes to many files, and the result is that of one."""
+    read, folders = files.table, []
+
+    def made(*args):
+        folders.append(work_dir(*args))
+        return folders[-1]
+
+    monkeypatch.setattr(files, "table", lambda *args: read(*args).repartition(4, F.rand(3)))
+    monkeypatch.setattr(files, "work_dir", made)
+    got = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(folders[0])
+    assert written.select("path").distinct().count() >= 4 * (2 if "roundtrip" in name else 1)
+    monkeypatch.setattr(files, "table", lambda *args: read(*args).coalesce(1))
+    assert got == sorted(map(str, QUERIES[name](spark, SF).collect())) and got

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, lines, pii, quality, shards, simhash, suffix, topk, toxicity, urls
+from tracelake.llm import audit, bpe, lines, pii, quality, shards, simhash, suffix, topk, toxicity, urls
 from tracelake.llm.common import written
 
 QUERIES, ORACLES = {}, {}
@@ -163,3 +163,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "removed_chars")
+
+
+@query(
+    "op13_filters",
+    """
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words
+  from documents),
+failing as (
+  select doc_id, part,
+    case when len(words) < 50 then 'A' else '' end ||
+    case when 100 * len(list_distinct(words)) < 65 * len(words) then 'B' else '' end ||
+    case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' else '' end ||
+    case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end ||
+    case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as fails
+  from texts),
+marked as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+counted as (
+  select part, fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+  from failing left join marked using (doc_id) group by part, fails),
+letters(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order from letters a, letters b, letters c, letters d, letters e
+  where a.l not in (b.l, c.l, d.l, e.l) and b.l not in (c.l, d.l, e.l) and c.l not in (d.l, e.l) and d.l <> e.l),
+steps as (
+  select filter_order, step, filter_order[step] as own, filter_order[:step - 1] as earlier
+  from orders cross join (select unnest([1, 2, 3, 4, 5]) as step)),
+seen as (
+  select part, filter_order, step, own, n, good, toxic, contains(fails, own) as fails_own, fails = own as only_own,
+    translate(fails, earlier, '') = fails as reached
+  from counted cross join steps),
+found as (
+  select part, filter_order, cast(step as int) as step, own,
+    cast(coalesce(sum(n) filter (reached and not fails_own), 0) as bigint) as kept,
+    cast(coalesce(sum(n) filter (reached and fails_own), 0) as bigint) as removed,
+    cast(coalesce(sum(n) filter (fails_own and not reached), 0) as bigint) as redundant,
+    cast(coalesce(sum(n) filter (only_own), 0) as bigint) as unique_fails,
+    cast(coalesce(sum(good) filter (reached and fails_own), 0) as bigint) as good_lost,
+    cast(coalesce(sum(toxic) filter (reached and fails_own), 0) as bigint) as toxic_lost
+  from seen group by all)
+select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from found
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = audit.mark_repeats(written(audit.text_failures(docs), "failures"))
+    label = lambda name: F.max((F.col(name) == 1).cast("int")).alias(name)
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(label("quality"), label("toxic"))
+    known = rows.join(marks, "doc_id", "left")
+    counts = audit.survivors(known, F.col("source"), {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    return audit.order_effects(counts, {"good_lost": "good", "toxic_lost": "toxic"})

@@ -95,3 +95,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots).distinct()
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", share: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``table``, one row of which belongs to each key, however many rows share a key.
+
+    ``table[weight]`` counts the rows of a key. Keys that hold one in ``share`` of all counted rows or more are met by
+    broadcast: there can be no more than ``share`` of them. What is left is shuffled, and no key of it is large. ``how``
+    is inner or left. Both tables are read more than once: hand in written ones. Null keys meet nothing.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * share >= total
+    hot = F.broadcast(table.where(heavy))
+    cold = rows.join(F.broadcast(table.where(heavy).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(table.where(~heavy), keys, how))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import audit, bpe, lines, pii, quality, shards, simhash, suffix, topk, toxicity, urls
+from tracelake.llm import align, audit, bpe, lines, pii, quality, repeats, shards, simhash, suffix, topk, toxicity, urls
 from tracelake.llm.common import written
 
 QUERIES, ORACLES = {}, {}
@@ -165,6 +165,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "removed_chars")
 
 
+@query("op11_align")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.groups(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.usual_links(found).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query("op12_repeats")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.remove_shared(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query(
     "op13_filters",
     """

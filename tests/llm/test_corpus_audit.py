@@ -114,8 +114,14 @@ def test_cuts_change_nothing():
 
 
 def test_tokens_without_bytes():
-    found = list(align.aligned([1, 2, 3, 4], [5, 6, 7], [2, 0, 1, 1], [2, 1, 1]))
-    assert found == [([1, 2], [5], [(2, 5), (1, 5)]), ([3], [6], [(3, 6)]), ([4], [7], [(4, 7)])]
+    found = [(end, i, j, {divmod(x, 1 << 32) for x in pairs}) for end, i, j, pairs in align.aligned([1, 2, 3, 4], [5, 6, 7], [2, 0, 1, 1], [2, 1, 1])]
+    assert found == [(2, 2, 1, {(1, 5), (2, 5)}), (3, 3, 2, {(3, 6)}), (4, 4, 3, {(4, 7)})]
+
+
+def test_fast_ids_are_those_of_the_library(spark, small):
+    side = align.ByteTokens(PATHS[0])
+    texts = [" " + t for t in ODD if t] + [r.text for r in queries.table(spark, small, "documents").collect() if r.text]
+    assert side.fast and side.encode(texts) == [x.ids for x in side.library.encode_batch(texts, add_special_tokens=False)]
 
 
 def plain_repeats(docs, size=50):

@@ -152,7 +152,7 @@ def test_clean_text_stays_clean(text):
 def test_pii_edges(frame):
     texts = [None, "", "a@b.c", "x" * 100_000 + "@", "1" * 100_000, "1." * 50_000, "+1" + " " * 50_000, "a@b.c", "\U0001f600 a@b.c"]
     got = pii.detect(frame(texts, extra="text as base, 1 as found")).orderBy("doc_id").collect()
-    assert [len(r.base) for r in got] == [0, 0, 1, 0, 0, 0, 0, 1, 1]
+    assert [len(r.base) for r in got] == [0, 0, 1, 0, 0, 12_500, 0, 1, 1]
     assert (got[8].base[0].start, got[8].base[0].end) == (2, 7)
     masked = {r.doc_id: r.text for r in pii.masked(frame(texts)).collect()}
     assert masked[8] == "\U0001f600 <email>" and masked[0] is None and masked[1] == ""
@@ -208,6 +208,37 @@ def test_models_on_odd_texts(spark, frame):
     nothing = toxicity.training_rows(labels.limit(0), "bad", "doc_id", 4, 9, 100)
     for scored in (toxicity.score(docs, toxicity.fit(docs, nothing, "doc_id", "text")), quality.score(docs, quality.fit(docs, nothing))):
         assert len({r.score for r in scored.collect()}) == 1
+    odd = labels.selectExpr("doc_id", "bad + 2 as bad").union(labels)
+    kept = toxicity.training_rows(odd, "bad", "doc_id", 4, 9, 100)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, training.collect()))
+    twice = quality.fit(docs.union(docs), training)
+    assert (twice.weights == quality.fit(docs, training).weights).all()
+
+
+def test_scores_by_plain_loops(spark, frame):
+    """Given models, scores are the formulas of the docstrings, computed word by word."""
+    texts = ["vile awful day", "", "fine fine fine words here", "scum vile vile awful scum and more of it", None, "short"]
+    docs, rng = frame(texts, extra=""), np.random.default_rng(3)
+    weights = rng.normal(size=quality.BUCKETS)
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.Model(weights, 0.25)).collect()}
+    for i, text in enumerate(texts):
+        words = [w.encode() for w in (text or "").split()]
+        held = [weights[b] for w in words for b in quality.features([w])[0]]
+        held += [weights[quality.REPEATED]] * sum(4 for x, y in zip(words, words[1:]) if x == y)
+        logit = 0.25 + (sum(held) / len(held) if held else 0)
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-9
+    odds = np.round(rng.normal(-0.2, 1, toxicity.BUCKETS), 1)
+    model = toxicity.Model(odds, 0.7, 0.4, 0.9, -1.5)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, text in enumerate(texts):
+        words = toxicity.words_of(text)
+        values = [max(odds[k] for k in toxicity.places(w)) for w in words]
+        room = np.log(0.4 * max(1, len(words)))
+        sums = [sum(values[a:b]) for a, b in segments_by_definition(values)]
+        passages = [s for s in sums if np.exp(room - 0.7 * s) <= model.expect]
+        evidence = 0.7 * max(max(sums, default=0.0), sum(passages)) - room
+        assert abs(got[i].score - 1 / (1 + np.exp(-(0.9 * evidence - 1.5)))) < 1e-9
+        assert sorted(round(p.segment, 6) for p in got[i].passages) == sorted(round(s, 6) for s in passages)
 
 
 def test_held_out_by_crc(spark):
@@ -265,48 +296,54 @@ def spark_hash(*values):
     return signed(seed)
 
 
-def plain_removal(docs, divisor=2, chunk_chars=40, passage_chars=100, share=0.4, span=0.7):
-    """(id, text) rows to (id, text, removed) by loops over all chunks."""
-    chunks, first = {}, {}
-    for id, text in docs:
-        if not text or len(text) < chunk_chars:
-            continue
-        rid = spark_hash(id, text)
-        own = re.split(lines.LINE_ENDS, text)
-        hashes = [spark_hash(x.strip(" ")) for x in own]
-        starts = [i for i in range(len(own)) if i == 0 or spark_hash(hashes[i - 1], hashes[i - 2] if i > 1 else 0) % divisor == 0]
-        for a, b in zip(starts, [*starts[1:], len(own)]):
-            body = "".join(own[a:b])
-            if len(body) >= chunk_chars:
-                key = "\n".join(x.strip(" ") for x in own[a:b])
-                chunks.setdefault(rid, {})[a] = (b, len(body), key, len(text), len(own))
-                first[key] = min(first.get(key, (rid, a, 0)), (rid, a, len(text)))
+def plain_chunks(words):
+    """Chunks (first word, word behind the last) of a row of words with their blanks."""
+    bare = [w.rstrip(lines.BLANKS) for w in words]
+    hashes = [spark_hash(w) for w in bare]
+    ends = lambda i: hashes[i] % lines.LINE_WORDS == 0 or "\n" in words[i] or bare[i][-1:] in lines.CLOSING
+    starts = [0, *(i + 1 for i in range(len(words) - 1) if ends(i)), len(words)]
+    line = [spark_hash(*hashes[x:y]) for x, y in zip(starts, starts[1:])]
+    rolling = [spark_hash(x, y) for x, y in zip(line, line[1:])]
+    low = [j for j in range(1, len(rolling) - 1) if rolling[j - 1] > rolling[j] <= rolling[j + 1]]
+    borders = [0, *(starts[j] for j in low), len(words)]
+    return list(zip(borders, borders[1:])), bare
+
+
+def plain_removal(docs, size=50, share=0.8):
+    """(id, text) rows to (id, text, removed) by loops over all chunks and windows."""
+    texts = {hashlib.md5(t.encode()).digest(): t for _, t in docs if t and len(t) >= size}
+    words = {r: re.split(lines.WORD_ENDS, t, flags=re.ASCII) for r, t in texts.items()}
+    words = {r: w for r, w in words.items() if len(w) >= size}
+    places, windows, found = {}, {}, {}
+    for r, own in words.items():
+        chunks, bare = plain_chunks(own)
+        for a, b in chunks:
+            places.setdefault(tuple(bare[a:b]), []).append((r, a, b))
+    for r, a, b in (x for group in places.values() if len(group) > 1 for x in group):
+        last = len(words[r]) - size
+        for q in range(min(max(min(a, b - size), 0), last), min(max(a, b - size, 0), last) + 1):
+            key = (*words[r][q : q + size - 1], words[r][q + size - 1].rstrip(lines.BLANKS))
+            windows.setdefault(key, set()).add((r, q))
+    for group in windows.values():
+        keeper, place = min(group)
+        for r, q in group:
+            if r != keeper or q >= place + size:
+                found.setdefault((r, keeper), set()).update(range(q, q + size))
+
+    def shingles(text):
+        own = [w for w in re.split("[ \t-\r]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
+        return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+
+    gone = {}
+    for (r, keeper), places in found.items():
+        x, y = shingles(texts[r]), shingles(texts[keeper])
+        if r == keeper or len(x & y) < share * len(x | y):
+            gone.setdefault(r, set()).update(places)
     out = []
     for id, text in docs:
-        rid = spark_hash(id, text) if text else None
-        mine = sorted((a, *c) for a, c in chunks.get(rid, {}).items())
-        drops = [(a, b, n) for a, b, n, k, _, _ in mine if first[k][:2] != (rid, a)]
-        by_other = {}
-        for a, b, n, k, size, count in mine:
-            if first[k][0] != rid:
-                by_other.setdefault(first[k][0], []).append((a, b, n, max(size, first[k][2]), count))
-        for found in by_other.values():
-            reach = max(x[1] for x in found) - min(x[0] for x in found)
-            if reach >= span * found[0][4] and sum(x[2] for x in found) / found[0][3] >= share:
-                drops = []
-        runs = []
-        for d in drops:
-            if runs and d[0] - runs[-1][-1][1] <= 3:
-                runs[-1].append(d)
-            else:
-                runs.append([d])
-        gone = {i for run in runs if sum(d[2] for d in run) >= passage_chars for d in run for i in range(d[0], d[1])}
-        if gone:
-            own = re.split(lines.LINE_ENDS, text)
-            new = "".join(x for i, x in enumerate(own) if i not in gone)
-            out.append((id, new, len(text) - len(new)))
-        else:
-            out.append((id, text, 0))
+        r = hashlib.md5(text.encode()).digest() if text else None
+        new = "".join(w for i, w in enumerate(words[r]) if i not in gone[r]) if r in gone else text
+        out.append((id, new, len(text or "") - len(new or "")))
     return out
 
 
@@ -397,9 +434,46 @@ def test_lines_repeat_within_a_document(frame):
     assert got[0].text.count(part) == 1 and 0 < len(got[1].text) < 200 and got[2].text == texts[2]
 
 
-def test_anchors_are_few_and_in_every_passage(spark, frame):
+def test_chunks(frame):
+    """Borders by content: as a plain loop finds them, few, and the same behind another beginning."""
     rng = random.Random(17)
-    text = " ".join(rng.choices("the of and in to is for on by it".split(), k=5000))
-    row = frame([text]).select(lines.anchors_of(F.col("text"), 30, 50).alias("c")).first()
-    places = sorted(c.a for c in row.c)
-    assert len(places) < 5000 / 6 and places[0] <= 20 and max(b - a for a, b in zip(places, places[1:])) <= 21
+    text = passage(rng, 200)
+    texts = [text, "another start\n " + text, " ".join(rng.choices("the of and in to is for on by it".split(), k=5000)), "one two", "x"]
+    rows = frame(texts, extra="").select("doc_id", lines.chunks_of(F.col("text")).alias("c")).orderBy("doc_id").collect()
+    for text, row in zip(texts, rows):
+        words = re.split(lines.WORD_ENDS, text, flags=re.ASCII)
+        assert [(c.a, c.b) for c in row.c] == plain_chunks(words)[0]
+    first, other = ({c.h for c in row.c} for row in rows[:2])
+    assert len(first - other) <= 2 and 1800 / 16 < len(rows[0].c) < 1800 / 5
+
+
+def test_lines_keep_one_whole_passage(frame):
+    """Hundreds of documents hold parts of a passage that are too short, twenty hold it whole: it stays in one."""
+    rng = random.Random(18)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    shared = words(60)
+    texts = [" ".join(words(30) + shared[k % 15 : k % 15 + 45] + words(30)) for k in range(400)]
+    texts += [" ".join(words(30) + shared + words(30)) for _ in range(20)]
+    got = {r.doc_id: r for r in lines.remove_repeated(frame(texts)).collect()}
+    assert sum(" ".join(shared) in got[i].text for i in range(400, 420)) == 1
+    assert all(got[i].text == texts[i] for i in range(400))
+
+
+def test_lines_without_blanks(frame):
+    """Every character of such a script is a word."""
+    rng = random.Random(19)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = text(60)
+    texts = [text(40) + shared + text(40), text(40) + shared + text(40), shared, text(70), "\u3042" * 40]
+    got = sorted(map(tuple, lines.remove_repeated(frame(texts, extra="")).select("doc_id", "text", "removed_chars").collect()))
+    assert got == sorted(plain_removal(list(enumerate(texts)))) and sum(shared in r[1] for r in got) == 1
+
+
+def test_lines_shuffled_passages(frame):
+    """Two long texts of the same passages in other orders: every passage is found at its own place."""
+    rng = random.Random(20)
+    parts = [passage(rng, 8) for _ in range(600)]
+    other = rng.sample(parts, len(parts))
+    got = lines.remove_repeated(frame([" ".join(parts), " ".join(other)], extra="")).collect()
+    sizes = sorted(len(r.text) for r in got)
+    assert sizes[0] < 0.02 * sizes[1] and sizes[1] == len(" ".join(parts))

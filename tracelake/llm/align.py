@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 from tracelake.llm.common import inner_names, meet, written
 
 SPACE = "▁"
+#: letters below it have stood in all versions of Unicode as they are
+FIRST_ODD = "\u0250"
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,8 +58,25 @@ class ByteTokens:
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.cuts = self.cuts and not told.get("normalizer")
 
+        self.fast = self._by_ranks(told["model"]) if self.cuts else None
+
+    def _by_ranks(self, model: dict):
+        """The same merges as ranks, for texts in whose letters all Unicode tables agree; None if ids are no ranks."""
+        import public_tokenizers
+        import tiktoken
+
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        first = len(self.bytes) - len(merges)
+        if first != 256 or any(model["vocab"][x + y] != first + i for i, (x, y) in enumerate(merges)):
+            return None
+        ranks = {token: number for number, token in self.bytes.items()}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [self.fast is not None and (text.isascii() or max(text) < FIRST_ODD) for text in texts]
+        rest = [text for text, known in zip(texts, plain) if not known]
+        odd = (found.ids for found in self.library.encode_batch_fast(rest, add_special_tokens=False)) if rest else iter(())
+        return [self.fast(text) if known else next(odd) for text, known in zip(texts, plain)]
 
 
 class PieceTokens:
@@ -80,33 +99,35 @@ class PieceTokens:
         return self.library.encode(texts, num_threads=1)
 
 
-def aligned(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """Groups of two lists of ids over the same bytes: the ids of each, and the pairs that end together at its end."""
-    a_ends = {end: i for i, end in enumerate(itertools.accumulate(a_sizes), 1)}
-    b_ends = {end: i for i, end in enumerate(itertools.accumulate(b_sizes), 1)}
-    at, to = 0, 0
+def aligned(
+    a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]
+) -> Iterator[tuple[int, int, int, list[int]]]:
+    """Groups of two lists of ids over the same bytes: their end, the index behind them in either list, and the pairs of
+    ids (first times 2**32 plus second) that end together there."""
+    a_ends = dict(zip(itertools.accumulate(a_sizes), itertools.count(1)))
+    b_ends = dict(zip(itertools.accumulate(b_sizes), itertools.count(1)))
+    at = to = 0
     for end in sorted(a_ends.keys() & b_ends.keys()):
         i, j = a_ends[end], b_ends[end]
-        # tokens without bytes end where the one before them does
-        left, right = [a[i - 1]], [b[j - 1]]
-        k = i - 1
-        while k > at and not a_sizes[k]:
-            k -= 1
-            left.append(a[k])
-        k = j - 1
-        while k > to and not b_sizes[k]:
-            k -= 1
-            right.append(b[k])
-        yield a[at:i], b[to:j], [(x, y) for x in left for y in right]
+        if a_sizes[i - 1] and b_sizes[j - 1]:
+            pairs = [a[i - 1] << 32 | b[j - 1]]
+        else:
+            # tokens without bytes end where the one before them does
+            left = [*itertools.takewhile(lambda k: not a_sizes[k], range(i - 1, at, -1))]
+            right = [*itertools.takewhile(lambda k: not b_sizes[k], range(j - 1, to, -1))]
+            left, right = (range(i - 1 - len(left), i), range(j - 1 - len(right), j))
+            pairs = [a[x] << 32 | b[y] for x in left for y in right]
+        yield end, i, j, pairs
         at, to = i, j
 
 
 class Aligner:
     """What both tokenizers make of texts. ``most`` cuts are kept at a time, twice as many at the most."""
 
-    def __init__(self, byte_path: str, piece_path: str, most: int = 150_000):
+    def __init__(self, byte_path: str, piece_path: str, most: int = 250_000):
         self.a, self.b, self.most = ByteTokens(byte_path), PieceTokens(piece_path), most
         self.cuts = self.a.cuts and self.b.cuts
+        self.a_sizes, self.b_sizes = ({i: len(data) for i, data in side.bytes.items()} for side in (self.a, self.b))
         self.odd = re.compile(r"\s |\A | \s| \Z").search
         self.space = re.compile(r"(?<=\S) (?=\S)")
         self.known: dict[str, tuple | None] = {}
@@ -118,22 +139,47 @@ class Aligner:
         return self.space.split(text) if self.odd(text) else text.split(" ")
 
     def found(self, texts: list[str]) -> list[tuple | None]:
-        """For every text: tokens of both, groups as text, number of groups, links as int64; None if bytes are lost."""
+        """For every text: tokens of both, groups as text, number of groups, links as int64; None if bytes are lost.
+
+        The texts stand one behind the other and are aligned as one; each ends at an end that both tokenizers have.
+        """
+        if not texts:
+            return []
         spaced = [" " + text for text in texts]
-        out = []
-        for data, a, b in zip(spaced, self.a.encode(spaced), self.b.encode(texts)):
-            a_bytes, b_bytes = [self.a.bytes.get(i, b"") for i in a], [self.b.bytes[i] for i in b]
-            raw = data.encode()
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                out.append(None)
-                continue
-            groups, links = [], []
-            for left, right, pairs in aligned(a, b, list(map(len, a_bytes)), list(map(len, b_bytes))):
-                groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                links += [x << 32 | y for x, y in pairs]
-            out.append((len(a), len(b), ";".join(groups), len(groups), np.array(links, np.int64).tobytes()))
+        a, b = self.a.encode(spaced), self.b.encode(texts)
+        raw = [text.encode() for text in spaced]
+        lost = self._lost(raw, a, b)
+        if lost:
+            kept = iter(self.found([text for i, text in enumerate(texts) if i not in lost]))
+            return [None if i in lost else next(kept) for i in range(len(texts))]
+        flat_a, flat_b = list(itertools.chain.from_iterable(a)), list(itertools.chain.from_iterable(b))
+        told_a, told_b = list(map(str, flat_a)), list(map(str, flat_b))
+        groups, links, ends, link_ends, done = [], [], [], [], 0
+        at = to = 0
+        sizes_a, sizes_b = [self.a_sizes[i] for i in flat_a], [self.b_sizes[i] for i in flat_b]
+        for end, i, j, pairs in aligned(flat_a, flat_b, sizes_a, sizes_b):
+            groups.append(",".join(told_a[at:i]) + "|" + ",".join(told_b[to:j]))
+            links += pairs
+            ends.append(end)
+            link_ends.append(len(links))
+            at, to = i, j
+        links, out = np.array(links, np.int64), []
+        stops = np.searchsorted(ends, np.cumsum([len(data) for data in raw]), "right").tolist()
+        for x, y, stop in zip(a, b, stops):
+            first, last = (link_ends[done - 1] if done else 0), link_ends[stop - 1]
+            out.append((len(x), len(y), ";".join(groups[done:stop]), stop - done, links[first:last].tobytes()))
+            done = stop
         return out
 
+    def _lost(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> set[int]:
+        """Which texts one of the tokenizers does not give back byte by byte."""
+        lost = set()
+        for side, found in ((self.a, a), (self.b, b)):
+            made = [b"".join([side.bytes.get(i, b"") for i in ids]) for ids in found]
+            if made != raw:
+                lost.update(i for i, (x, y) in enumerate(zip(made, raw)) if x != y)
+        return lost
+
     def learn(self, cuts: set[str]) -> dict[str, tuple | None]:
         """What is known of cuts: found before, or now."""
         if len(self.known) > self.most:

@@ -1,23 +1,28 @@
-"""Removal of repeated passages, found by anchors of words and measured by comparing texts, in DataFrame expressions only.
-
-A text is a row of words. In every window of so many words the pair with the least hash starts an anchor, a run of words
-whose hash is looked up in all documents: a passage that is repeated has the same windows, so the same anchors, wherever
-it stands and however it begins and ends. Anchors only tell which two texts to lay beside each other and how far shifted;
-their words are then compared one by one, and every equal stretch that is long enough is a passage.
+"""Removal of repeated passages, found by content-defined chunks of lines, in DataFrame expressions only.
+
+A line ends at a line break, behind a word with a closing mark, and behind every word whose hash says so, so prose of any
+layout has short lines. A rolling hash runs over the hashes of two lines; where it is less than before and behind, a chunk
+begins. Such borders depend on the nearest lines only, so a passage has the same chunks wherever it stands. Chunks that
+occur twice anywhere anchor the search: round them, every window of passage length is laid open and looked up among all
+others, so the document that keeps a passage always holds the whole of it. Windows that match go together to runs, runs
+are compared with what is kept byte by byte, and then they go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tracelake.llm.common import inner_names, shingles_of, written
+from tracelake.llm.common import inner_names, meet, shingles_of, written
 
-LINE_ENDS = r"(?<=[.!?,;:][ \t])(?=\S)|(?<=\n)(?=\S)"
 BLANKS = " \t\n\x0b\f\r"
 # scripts that set no blanks: every character is a word
-WORD_ENDS = r"(?<=\s)(?=\S)|(?<=[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff])(?=\S)"
+WORD_ENDS = r"(?<=\s)(?=\S)|(?<=[฀-໿က-႟ក-៿぀-ヿ㐀-鿿])(?=\S)"
+CLOSING = list(".!?,;:")
+#: one in so many words ends a line whatever it is
+LINE_WORDS = 6
 
 
 def words_of(text: Column) -> Column:
@@ -25,41 +30,88 @@ def words_of(text: Column) -> Column:
     return F.split(text, WORD_ENDS)
 
 
-def bare(words: Column) -> Column:
-    return F.transform(words, lambda w: F.rtrim(w, F.lit(BLANKS)))
+def bare(word: Column) -> Column:
+    return F.rtrim(word, F.lit(BLANKS))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _next(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of every value and the one behind it, null behind the last."""
+    return F.zip_with(values, F.slice(values, 2, F.size(values)), join)
+
+
+def chunks_of(text: Column) -> Column:
+    """Chunks as structs: first word ``a``, word behind the last ``b``, and hash ``h`` of the words."""
+
+    def of(words: Column, hashes: Column) -> Column:
+        def ends(i: Column) -> Column:
+            word = F.get(words, i)
+            chosen = F.pmod(F.get(hashes, i), F.lit(LINE_WORDS)) == 0
+            return chosen | F.contains(word, F.lit("\n")) | F.right(bare(word), F.lit(1)).isin(CLOSING)
+
+        size = F.size(words)
+        cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i < size - 1) & ends(i))
+        starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1), F.array(size))
+        return let(starts, lambda s: chunked(hashes, s))
+
+    def chunked(hashes: Column, starts: Column) -> Column:
+        span = lambda a, b: F.xxhash64(F.slice(hashes, a + 1, F.greatest(b - a, F.lit(0))))
+        whole = lambda pairs: F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))
+        lines = whole(_next(starts, lambda a, b: F.when(b.isNotNull(), span(a, b))))
+        rolling = let(lines, lambda x: whole(_next(x, lambda p, q: F.xxhash64(p, q))))
+
+        def borders(r: Column) -> Column:
+            at = lambda j: F.get(r, j)
+            low = F.filter(F.sequence(F.lit(0), F.size(r)), lambda j: (at(j) < at(j - 1)) & (at(j) <= at(j + 1)))
+            inner = F.transform(low, lambda j: F.get(starts, j))
+            return F.concat(F.array(F.lit(0)), inner, F.array(F.element_at(starts, -1)))
+
+        pairs = let(rolling, borders)
+        return let(
+            pairs,
+            lambda x: whole(_next(x, lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.when(b.isNotNull(), span(a, b)).alias("h")))),
+        )
 
+    return let(words_of(text), lambda words: let(F.transform(words, lambda w: F.xxhash64(bare(w))), lambda h: of(words, h)))
 
-def anchors_of(text: Column, anchor_words: int, passage_words: int) -> Column:
-    """Anchors as structs: first word ``a`` and hash ``h``. Every run of ``passage_words`` words holds a whole one."""
-    window = passage_words - anchor_words + 1
 
-    def picked(hashes: Column) -> Column:
-        # the hash of a pair of words above, its place below: the least is the leftmost of the least pairs
-        pair = lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)).bitwiseAND(F.lit(0x7FFFFFFF))
-        least = F.transform(F.sequence(F.lit(0), F.size(hashes) - anchor_words), lambda i: F.shiftleft(pair(i), 32) + i)
-        wide = 1
-        while wide < window:
-            step = min(wide, window - wide)
-            ahead = lambda m: F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y))  # noqa: E731, B023
-            least = F.flatten(F.transform(F.array(least), ahead))
-            wide += step
-        return F.transform(F.array_distinct(least), lambda m: m.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+def windows_of(text: Column, chunks: Column, size: int) -> Column:
+    """All windows of ``size`` words that hold one of the chunks, or lie in one: first word ``q``, two hashes of the bytes."""
 
-    # a let: hashes of the words are computed once and named
-    known = F.array(F.transform(words_of(text), lambda w: F.xxhash64(F.rtrim(w, F.lit(BLANKS)))))
-    known = F.filter(known, lambda hashes: F.size(hashes) >= passage_words)
-    anchor = lambda hashes, i: F.struct(i.alias("a"), F.xxhash64(F.slice(hashes, i + 1, anchor_words)).alias("h"))
-    return F.flatten(F.transform(known, lambda hashes: F.transform(picked(hashes), lambda i: anchor(hashes, i))))
+    def at(words: Column) -> Column:
+        last = F.size(words) - size
+        low = lambda c: F.least(F.greatest(F.least(c["a"], c["b"] - size), F.lit(0)), last)
+        high = lambda c: F.least(F.greatest(c["a"], c["b"] - size, F.lit(0)), last)
+        places = F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.sequence(low(c), high(c)))))
 
+        def window(q: Column) -> Column:
+            # blanks behind the last word do not count
+            inner, end = F.slice(words, q + 1, size - 1), bare(F.get(words, q + (size - 1)))
+            return F.struct(q.alias("q"), F.xxhash64(inner, end).alias("x"), F.xxhash64(F.lit(size), inner, end).alias("y"))
 
-def equal_runs(own: Column, other: Column, shift: Column, least: int) -> Column:
-    """Runs of at least ``least`` words, as structs from ``a`` up to ``b``, equal to the words ``shift`` before in ``other``."""
-    start = F.greatest(shift, F.lit(0))
-    end = F.least(F.size(own), F.size(other) + shift)
-    differ = F.filter(F.sequence(start, end - 1), lambda i: F.get(own, i) != F.get(other, i - shift))
-    edges = F.array(F.concat(F.array(start - 1), differ, F.array(end)))
-    runs = lambda at: F.zip_with(at, F.slice(at, 2, F.size(at)), lambda x, y: F.struct((x + 1).alias("a"), y.alias("b")))
-    return F.filter(F.flatten(F.transform(edges, runs)), lambda run: run["b"] - run["a"] >= least)
+        return F.transform(places, window)
+
+    return let(words_of(text), at)
+
+
+def runs_of(places: Column, size: int) -> Column:
+    """Windows ``(shift, q)`` as runs ``(a, b, shift)``: those that follow one another at one shift go together."""
+
+    def of(s: Column) -> Column:
+        before = lambda i, name: F.get(s, i - 1)[name]
+        here = lambda i, name: F.get(s, i)[name]
+        opens = lambda i: (i == 0) | (before(i, "shift") != here(i, "shift")) | (before(i, "q") + 1 != here(i, "q"))
+        firsts = F.concat(F.filter(F.sequence(F.lit(0), F.size(s) - 1), opens), F.array(F.size(s)))
+        run = lambda i, j: F.struct(
+            here(i, "q").alias("a"), (F.get(s, j - 1)["q"] + size).alias("b"), here(i, "shift").alias("shift")
+        )
+        return let(firsts, lambda f: F.slice(_next(f, run), 1, F.size(f) - 1))
+
+    return let(F.array_sort(places), of)
 
 
 def remove_repeated(
@@ -67,67 +119,60 @@ def remove_repeated(
     text: str = "text",
     id: str = "doc_id",
     passage_words: int = 50,
-    anchor_words: int = 30,
     copy_share: float = 0.8,
     shingle_words: int = 5,
 ) -> DataFrame:
     """``docs`` without the repeats of passages; column ``removed_chars`` (long) tells how much went.
 
-    A passage is a run of ``passage_words`` words or more, whatever blanks stand between them, that two documents share
-    or that a document repeats. Every passage holds an anchor of ``anchor_words`` words, and each anchor leads to the
-    document with the smallest hash of id and text that has it (within a document to the one before). A passage whose
-    every anchor also stands in a document with a smaller hash, but there without the rest, is not seen. What goes is
-    always kept in a document with a smaller hash, or before it in the same one, so one occurrence stays.
+    A passage is a run of ``passage_words`` words or more that two different texts share byte by byte, or that a text
+    repeats behind itself. It stays in the text with the smallest digest (in one text: where it stands first) and goes
+    from all others. A passage is seen if it holds a whole chunk and the lines next to it, so that its borders are the
+    same everywhere: about 10 words a chunk, and 20 around.
 
-    A document that as a whole repeats another one is a copy of it: their sets of ``shingle_words``-word shingles overlap
-    by ``copy_share`` or more. What a copy shares with the document it copies is left, for an operator that finds near
-    duplicates; passages that stay in other documents go from copies as well. Use a share above 1 to cut copies, too.
+    Rows of equal texts are copies of one document and get equal results: a copy is not cut because of the other. So is
+    a text whose set of ``shingle_words``-word shingles overlaps with another's by ``copy_share`` or more: what it shares
+    with that one is left for an operator that finds near duplicates, passages that stay in other texts go from it as
+    well. Use a share above 1 to cut near copies, too.
 
-    Rows with null or empty texts stay as they are. Rows that repeat id and text are one document: they get equal
-    results. A very long text is one row and its anchors are ordinary rows. Null ids are like any other. A column named
-    removed_chars is replaced.
+    Null, empty and shorter texts stay as they are; an empty table gives no rows. A very long text is one row; its
+    chunks and windows are ordinary rows. A column named removed_chars is replaced, all others stay; ``id`` is not used
+    but to be named like in other operators.
 
-    Only hashes travel until it is known which documents share anchors. Joins on a hash can be split on a hot one.
+    Only hashes travel until it is known which texts share a chunk. What many rows share is met by broadcast.
     """
     docs = docs.drop("removed_chars")
     rid, drops = inner_names(docs, "rid", "drops")
-    marked = docs.withColumn(rid, F.xxhash64(F.col(id), F.col(text)))
-    rows = (
-        marked.where(F.length(text) >= 2 * passage_words - 1)
-        # texts stay behind: only numbers are multiplied by the explode
-        .select(F.col(rid).alias("rid"), F.explode(anchors_of(F.col(text), anchor_words, passage_words)).alias("c"))
-        .select("rid", "c.a", "c.h")
-    )
-    # numbers only, read for the counts and for the join
-    rows = written(rows, "anchors")
-    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("rid", "a")).alias("keeper"))
-    repeated = rows.join(first.where("n > 1").drop("n"), "h").select("rid", "a", "h", "keeper").distinct()
-    # a document's first anchor of a hash leads to the keeper, any other to the one before it
-    earlier = F.lag("a").over(Window.partitionBy("rid", "h").orderBy("a"))
-    led = repeated.withColumn("earlier", earlier).where("earlier is not null or rid != keeper.rid")
-    led = led.select(
-        "rid",
-        F.when(F.col("earlier").isNull(), F.col("keeper.rid")).otherwise(F.col("rid")).alias("from"),
-        (F.col("a") - F.coalesce("earlier", "keeper.a")).alias("shift"),
-    )
-    pairs = written(led.groupBy("rid", "from").agg(F.collect_set("shift").alias("shifts")), "pairs")
-    met = pairs.select("rid").union(pairs.select("from")).distinct()
-    # rows that repeat id and text are one document
-    texts = marked.select(F.col(rid).alias("rid"), F.col(text).alias("text")).join(met, "rid", "left_semi")
-    texts = written(texts.groupBy("rid").agg(F.first("text").alias("text")), "texts")
+    marked = docs.withColumn(rid, F.unhex(F.md5(F.col(text))))
+    own = marked.select(F.col(rid).alias("rid"), F.col(text).alias("text")).where(F.length("text") >= passage_words)
+    chunks = own.where(F.size(words_of(F.col("text"))) >= passage_words)
+    chunks = written(chunks.select("rid", F.explode(chunks_of(F.col("text"))).alias("c")).select("rid", "c.a", "c.b", "c.h"), "chunks")
+    place = F.struct("rid", "a")
+    known = chunks.groupBy("h").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("n"))
+    known = written(known.where("least != most").select("h", "n"), "repeated")
+    anchors = meet(chunks, known, ["h"], "n").groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("chunks"))
+    anchors = written(anchors, "anchors")
+    # one row for all copies of a text
+    texts = own.join(anchors.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
+    opened = texts.join(anchors, "rid").select("rid", F.explode(windows_of(F.col("text"), F.col("chunks"), passage_words)).alias("w"))
+    opened = written(opened.select("rid", "w.q", "w.x", "w.y"), "windows")
+    place = F.struct("rid", "q")
+    kept = opened.groupBy("x", "y").agg(F.min(place).alias("keeper"), F.max(place).alias("most"), F.count("*").alias("n"))
+    kept = written(kept.where("keeper != most").drop("most"), "keepers")
+    found = meet(opened, kept, ["x", "y"], "n")
+    # within a text, windows that overlap the kept one stay
+    found = found.where(f"rid != keeper.rid or q >= keeper.q + {passage_words}")
+    found = found.select("rid", F.col("keeper.rid").alias("from"), "q", (F.col("q") - F.col("keeper.q")).alias("shift"))
+    pairs = found.groupBy("rid", "from").agg(F.collect_list(F.struct("shift", "q")).alias("places"))
+    pairs = written(pairs.select("rid", "from", runs_of(F.col("places"), passage_words).alias("runs")), "pairs")
     both = pairs.join(texts.withColumnRenamed("text", "own"), "rid")
     both = both.join(texts.select(F.col("rid").alias("from"), F.col("text").alias("other")), "from")
-    cuts = F.transform(
-        F.array(F.struct(bare(words_of(F.col("own"))).alias("own"), bare(words_of(F.col("other"))).alias("other"))),
-        lambda x: F.flatten(F.transform("shifts", lambda shift: equal_runs(x["own"], x["other"], shift, passage_words))),
-    )
-    # the shingles only of those that share a passage
-    both = both.withColumn("cuts", F.flatten(cuts)).where(F.size("cuts") > 0)
-    sets = F.array(F.struct(F.array_distinct(shingles_of(F.col("own"), shingle_words)).alias("x"), F.array_distinct(shingles_of(F.col("other"), shingle_words)).alias("y")))
-    overlap = lambda s, common: common >= F.lit(copy_share) * (F.size(s["x"]) + F.size(s["y"]) - common)
-    copy = F.exists(sets, lambda s: overlap(s, F.size(F.array_intersect(s["x"], s["y"]))))
-    both = both.where((F.col("rid") == F.col("from")) | ~copy)
-    lists = both.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("picks"))
+    piece = lambda words, a, b: F.concat(F.array_join(F.slice(words, a + 1, b - a - 1), ""), bare(F.get(words, b - 1)))
+    same = lambda x, y, run: piece(x, run["a"], run["b"]) == piece(y, run["a"] - run["shift"], run["b"] - run["shift"])
+    cuts = let(words_of(F.col("own")), lambda x: let(words_of(F.col("other")), lambda y: F.filter("runs", lambda run: same(x, y, run))))
+    both = both.withColumn("cuts", cuts).where(F.size("cuts") > 0)
+    lists = both.where((F.col("rid") == F.col("from")) | ~_copies(copy_share, shingle_words))
+    lists = lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("picks"))
     joined = _with_lists(marked, rid, lists, drops)
     some = F.col(drops).isNotNull()
     name = inner_names(joined, "_cut")[0]
@@ -136,12 +181,12 @@ def remove_repeated(
         F.array(F.struct(words_of(F.col(text)).alias("w"), F.array_sort(drops).alias("p"))),
         lambda x: F.aggregate(
             x["p"],
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
             lambda acc, p: F.struct(
                 F.greatest(acc["at"], p["b"]).alias("at"),
-                F.concat(acc["out"], F.array_join(F.slice(x["w"], acc["at"] + 1, F.greatest(p["a"] - acc["at"], F.lit(0))), "")).alias("out"),
+                F.concat(acc["out"], F.array(F.array_join(F.slice(x["w"], acc["at"] + 1, F.greatest(p["a"] - acc["at"], F.lit(0))), ""))).alias("out"),
             ),
-            lambda acc: F.concat(acc["out"], F.array_join(F.slice(x["w"], acc["at"] + 1, F.size(x["w"])), "")),
+            lambda acc: F.concat(F.array_join(acc["out"], ""), F.array_join(F.slice(x["w"], acc["at"] + 1, F.size(x["w"])), "")),
         ),
     )
     out = joined.withColumn(name, F.when(some, F.element_at(kept, 1)).otherwise(F.col(text)))
@@ -149,6 +194,19 @@ def remove_repeated(
     return out.withColumn(text, F.col(name)).drop(name, rid, drops)
 
 
+def _copies(share: float, words: int) -> Column:
+    """Whether the sets of shingles of ``own`` and ``other`` overlap by ``share``; sets are only made of texts that could."""
+
+    def overlap(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        return both >= F.lit(share) * (F.size(x) + F.size(y) - both)
+
+    sets = lambda name: F.array_distinct(shingles_of(F.col(name), words))
+    # characters per word differ little between texts that share most of them
+    near = F.least(F.length("own"), F.length("other")) >= F.lit(share * share / 2) * F.greatest(F.length("own"), F.length("other"))
+    return F.when(near, let(sets("own"), lambda x: let(sets("other"), lambda y: overlap(x, y)))).otherwise(F.lit(False))
+
+
 def _with_lists(marked: DataFrame, rid: str, lists: DataFrame, drops: str) -> DataFrame:
     key = inner_names(marked, "key")[0]
     lists = lists.select(F.col("rid").alias(key), F.col("picks").alias(drops))

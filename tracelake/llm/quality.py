@@ -138,7 +138,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, training: DataFrame, id: str = "doc_id", text: str = "text") -> Model:
     """Train on the whole texts of ``training (id, label)``, which must be a bounded sample: it is broadcast, and the
-    features of its texts come to the driver. Null texts count as empty."""
+    features of its texts, at most ``BUCKETS`` each, come to the driver. Null texts count as empty. Of rows that repeat a
+    training id one is used, that with the smallest text. Without any row every score is 0.5."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +150,7 @@ def fit(docs: DataFrame, training: DataFrame, id: str = "doc_id", text: str = "t
             )
 
     chosen = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(training), "id")
+    chosen = chosen.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     kind = docs.schema[id].dataType.simpleString()
     rows = chosen.select("id", "label", "text").mapInArrow(work, f"id {kind}, label int, found binary, counts binary").collect()
     rows = sorted(rows, key=lambda r: (str(r[0]), bytes(r[2])))
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, training: DataFrame, id: str = "doc_id", text: str = "t
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of class 1, in place of a column of that name. A text without words has
-    the score of the constant."""
+    the score of the constant; equal texts have equal scores, an empty table gives no rows."""
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import components, inner_names, written
+from tracelake.llm.common import components, inner_names, meet, written
 
 SEED = 42
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -55,45 +55,56 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
 
 
-def _mix(hashes: np.ndarray, salt: int) -> np.ndarray:
+def _mix(hashes: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     """Another 64-bit hash of a hash (a multiply-xorshift finaliser)."""
     with np.errstate(over="ignore"):
-        x = hashes ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        x = hashes ^ (np.uint64(salt) if isinstance(salt, int) else salt) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
 
+def _print(hashes: np.ndarray, width: int) -> bytes:
+    return b"".join(_majority(hashes if k == 0 else _mix(hashes, k)).to_bytes(8, "big") for k in range(width))
+
+
 def fingerprint(text: str | None, words: int = 3, width: int = 1) -> bytes:
     """The fingerprint of one text: ``width`` times 64 bits, big-endian; all zero without words."""
-    hashes = _shingle_hashes(text, words, SEED)
-    return b"".join(_majority(hashes if k == 0 else _mix(hashes, k)).to_bytes(8, "big") for k in range(width))
+    return _print(_shingle_hashes(text, words, SEED), width)
 
 
-def bands(text: str | None, words: int, tables: int, rows: int) -> list[int]:
-    """Shard keys of a text: for each table a hash of ``rows`` smallest shingle hashes, each under another mix."""
-    hashes = _shingle_hashes(text, words, SEED)
+def bands(hashes: np.ndarray, tables: int, rows: int) -> list[int]:
+    """Shard keys of a set of shingle hashes: for each table a hash of ``rows`` smallest ones, each under another mix."""
     if not len(hashes):
         return [0] * tables
-    hashes = np.unique(hashes)
-    out = []
-    for t in range(tables):
-        least = np.array([_mix(hashes, 1000 + t * rows + r).min() for r in range(rows)], np.uint64)
-        out.append(xxhash.xxh64_intdigest(least.tobytes()) >> 1)
-    return out
+    salts = np.arange(1000, 1000 + tables * rows, dtype=np.uint64)[:, None]
+    least = np.full(tables * rows, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), STEP):
+        least = np.minimum(least, _mix(hashes[None, i : i + STEP], salts).min(axis=1))
+    return [xxhash.xxh64_intdigest(part.tobytes()) >> 1 for part in least.reshape(tables, rows)]
 
 
 def sketches(docs: DataFrame, id: str, text: str, words: int, width: int, tables: int = 0, rows: int = 0) -> DataFrame:
-    """``(id, fp)`` for every row, with ``keys`` if ``tables`` is given. The text is read whole and not passed on."""
+    """``(id, fp)`` for every row. The text is read whole and not passed on.
+
+    With ``tables``, fingerprints are of the sets of shingles instead of their sequences, eight bytes of a hash of the
+    text stand behind them, so that different texts never share one, and ``keys`` are the shards of the text.
+    """
     schema = f"`id` {docs.schema[id].dataType.simpleString()}, fp binary, keys array<long>"
 
+    def one(text: str | None) -> tuple[bytes, list[int]]:
+        hashes = _shingle_hashes(text, words, SEED)
+        if not tables:
+            return _print(hashes, width), []
+        hashes = np.unique(hashes)
+        whole = xxhash.xxh64_digest((text or "").encode("utf-8", "surrogatepass"), SEED)
+        return _print(hashes, width) + whole, bands(hashes, tables, rows)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = part.column(1)
-                fps = [fingerprint(t.as_py(), words, width) for t in texts]
-                keys = [bands(t.as_py(), words, tables, rows) if tables else [] for t in texts]
+                fps, keys = zip(*[one(t.as_py()) for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["id", "fp", "keys"],
@@ -182,12 +193,11 @@ def forest_labels(n: int, pieces) -> np.ndarray:
     return label
 
 
-def cell_links(codes: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int):
-    """Index pairs of a spanning forest of each group's links.
+def cell_pairs(codes: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int):
+    """Index pairs within the radius, in pieces.
 
     Rows are sorted by group; rows of a group with ``in_tree`` form its BK-tree, rows with ``asks`` search it.
     """
-    n = len(codes)
     tree_rows = np.flatnonzero(in_tree)
     forest = Forest(codes[tree_rows], groups[tree_rows])
     starts = np.searchsorted(groups[tree_rows], groups[asks], "left")
@@ -198,49 +208,51 @@ def cell_links(codes: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks:
     forest.codes = np.concatenate([forest.codes, codes[queries]])
     base = len(tree_rows)
     back = np.concatenate([tree_rows, queries])
-    pieces = ((back[q], back[t]) for q, t in forest.search(base + np.arange(len(queries)), starts, radius))
-    label = forest_labels(n, pieces)
-    child = np.flatnonzero(label != np.arange(n))
+    return ((back[q], back[t]) for q, t in forest.search(base + np.arange(len(queries)), starts, radius))
+
+
+def cell_links(codes: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int):
+    """Index pairs of a spanning forest of each group's links."""
+    label = forest_labels(len(codes), cell_pairs(codes, groups, in_tree, asks, radius))
+    child = np.flatnonzero(label != np.arange(len(codes)))
     return child, label[child]
 
 
-def links(nodes: DataFrame, radius: int, cell: int = 2048) -> DataFrame:
-    """Edges ``(a, b)`` that connect every pair of fingerprints within ``radius`` that shares a shard.
+def confirmed_labels(n: int, pieces, holds) -> np.ndarray:
+    """As :func:`forest_labels`, but a pair counts only if ``holds(i, j)``. Pairs that are connected already are not
+    asked for; of those that join the same two parts, one is asked at a time until one holds."""
+    label = np.arange(n)
+    for a, b in pieces:
+        while True:
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            if not len(a):
+                break
+            # one pair for every part at a time: most hold, and then spare their part all others
+            _, first = np.unique(label[a], return_index=True)
+            good = first[[holds(i, j) for i, j in zip(a[first].tolist(), b[first].tolist())]]
+            joined = forest_labels(n, [(label[a[good]], label[b[good]])])
+            label = joined[label]
+            rest = np.ones(len(a), bool)
+            rest[first] = False
+            a, b = a[rest], b[rest]
+    return label
 
-    ``nodes (fp, tab, key)``: a fingerprint and the shards it is in, no row twice.
-    """
-    counts = nodes.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = nodes.join(counts, ["tab", "key"])
-    trees = F.ceil(F.col("n") / F.lit(cell)).cast("int")
-    dealt = dealt.withColumn("trees", trees).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    # tree i meets block j once, for i <= j
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    dealt = dealt.select(
-        "tab", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp"
-    )
-    dealt = dealt.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "own", "fp")
 
-    def search(table: pa.Table) -> pa.RecordBatch:
-        raw = table.column("fp").combine_chunks()
-        fps = raw.to_pylist()
-        codes = np.frombuffer(b"".join(fps), ">u8").reshape(len(fps), -1).astype(np.uint64)
-        tab, key, i, j, own = (table.column(c).combine_chunks().to_numpy() for c in ("tab", "key", "i", "j", "own"))
-        change = np.concatenate(([True], (tab[1:] != tab[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        child, root = cell_links(codes, np.cumsum(change), own == i, own == j, radius)
-        pick = lambda rows: pa.array([fps[r] for r in rows.tolist()], pa.binary())
-        return pa.RecordBatch.from_arrays([pick(child), pick(root)], names=["a", "b"])
+def in_cells(dealt: DataFrame, search, schema: str, most_rows: int = 50_000, most_bytes: int = 1 << 27) -> DataFrame:
+    """``search`` applied to tables of whole cells ``(tab, key, i, j)`` of a table that is dealt and sorted by them."""
+    names = ("tab", "key", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
 
         def cut(table: pa.Table) -> int:
             """Where the last cell of the table begins; it may go on in the next batch."""
             at = table.num_rows - 1
-            last = [table.column(c)[at].as_py() for c in ("tab", "key", "i", "j")]
             same = np.ones(table.num_rows, bool)
-            for c, v in zip(("tab", "key", "i", "j"), last):
-                same &= table.column(c).to_numpy() == v
+            for c in names:
+                same &= table.column(c).to_numpy() == table.column(c)[at].as_py()
             return int(np.argmax(same))
 
         for batch in batches:
@@ -248,17 +260,102 @@ def links(nodes: DataFrame, radius: int, cell: int = 2048) -> DataFrame:
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 50_000:
+            size += batch.nbytes
+            if rows >= most_rows or size >= most_bytes:
                 table = pa.Table.from_batches(held)
                 at = cut(table)
                 if at:
                     yield search(table.slice(0, at))
                 rest = table.slice(at)
-                held, rows = rest.to_batches(), rest.num_rows
+                held, rows, size = rest.to_batches(), rest.num_rows, 0
         if rows:
             yield search(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(work, "a binary, b binary").distinct()
+    return dealt.mapInArrow(work, schema)
+
+
+def dealt_to_cells(nodes: DataFrame, trees: Column, name: str) -> DataFrame:
+    """Rows of groups ``(tab, key)`` dealt to cells: a group is cut into so many trees, and tree i meets block j once,
+    for i <= j."""
+    dealt = nodes.withColumn("trees", trees).withColumn("own", F.pmod(F.xxhash64(name), F.col("trees")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "trees")
+    return dealt.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "own", name)
+
+
+def _cells_of(table: pa.Table, width: int | None):
+    """Fingerprints, codes, group numbers, and which rows stand in the tree and which search it, of a table of cells."""
+    fps = table.column("fp").combine_chunks().to_pylist()
+    codes = np.frombuffer(b"".join(fps), ">u8").reshape(len(fps), -1)[:, :width].astype(np.uint64)
+    tab, key, i, j, own = (table.column(c).combine_chunks().to_numpy() for c in ("tab", "key", "i", "j", "own"))
+    change = np.concatenate(([True], (tab[1:] != tab[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    return fps, codes, np.cumsum(change), own == i, own == j
+
+
+def links(nodes: DataFrame, radius: int, cell: int = 2048, width: int | None = None) -> DataFrame:
+    """Edges ``(a, b)`` that connect every pair of fingerprints within ``radius`` that shares a shard.
+
+    ``nodes (fp, tab, key)``: a fingerprint and the shards it is in, no row twice; distances are those of the first
+    ``width`` times 64 bits.
+    """
+    counts = nodes.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
+    joined = nodes.join(counts, ["tab", "key"])
+    dealt = dealt_to_cells(joined, F.ceil(F.col("n") / F.lit(cell)).cast("int"), "fp").select("tab", "key", "i", "j", "own", "fp")
+
+    def search(table: pa.Table) -> pa.RecordBatch:
+        fps, codes, groups, in_tree, asks = _cells_of(table, width)
+        child, root = cell_links(codes, groups, in_tree, asks, radius)
+        pick = lambda rows: pa.array([fps[r] for r in rows.tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([pick(child), pick(root)], names=["a", "b"])
+
+    return in_cells(dealt, search, "a binary, b binary").distinct()
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(fp, root, size, hashes)`` of ``texts (fp, root, text)``: the sorted set of shingle hashes as bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
+                sets = [np.unique(_shingle_hashes(t.as_py(), words, SEED)) for t in batch.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    names=["fp", "root", "size", "hashes"],
+                )
+
+    return texts.select("fp", "root", "text").mapInArrow(work, "fp binary, root binary, size long, hashes binary")
+
+
+def confirmed(sets: DataFrame, radius: int, width: int, similarity: float, cell: int = 400_000) -> DataFrame:
+    """Edges ``(a, b)`` of pairs of one ``root`` within the radius whose sets overlap by ``similarity`` or more.
+
+    ``sets`` comes from :func:`shingle_sets`, written. Groups are cut into trees of about ``cell`` shingles, so a task
+    holds two trees of the group, and all their pairs within the radius meet in one cell. Not all of them are compared:
+    what confirmed pairs connect needs no further pair.
+    """
+    totals = sets.groupBy("root").agg(F.sum(F.col("size") + 16).alias("total"), F.count("*").alias("n")).where("n > 1")
+    joined = sets.join(totals, "root").select(F.lit(0).alias("tab"), F.col("root").alias("key"), "fp", "hashes", "total")
+    dealt = dealt_to_cells(joined.withColumn("key", F.xxhash64("key")), F.ceil(F.col("total") / F.lit(cell)).cast("int"), "fp")
+    dealt = dealt.select("tab", "key", "i", "j", "own", "fp", "hashes")
+
+    def search(table: pa.Table) -> pa.RecordBatch:
+        fps, codes, groups, in_tree, asks = _cells_of(table, width)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes").combine_chunks()]
+
+        def holds(a: int, b: int) -> bool:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                return False
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+        label = confirmed_labels(len(fps), cell_pairs(codes, groups, in_tree, asks, radius), holds)
+        child = np.flatnonzero(label != np.arange(len(fps)))
+        pick = lambda rows: pa.array([fps[r] for r in rows.tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([pick(child), pick(label[child])], names=["a", "b"])
+
+    return in_cells(dealt, search, "a binary, b binary").where("a != b").distinct()
 
 
 def members(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
@@ -293,20 +390,33 @@ def similar(
     width: int = 4,
     tables: int = 16,
     rows: int = 3,
+    deviations: float = 4.0,
 ) -> DataFrame:
     """``(id, fp, root)`` for every row, linking texts whose sets of shingles overlap by ``similarity`` or more.
 
     Uses ``width`` times 64 bits. The expected share of differing bits of two texts with shingle overlap J is
-    ``acos(2 J / (1 + J)) / pi``; the radius is that share at ``similarity`` plus one standard deviation. Shards are
-    bands of smallest shingle hashes: two texts with overlap J miss each other with probability ``(1 - J ** rows) **
-    tables``, 1e-5 at 0.8 with the defaults.
+    ``acos(2 J / (1 + J)) / pi``; the radius is that share at ``similarity`` plus ``deviations`` standard deviations.
+    Shards are bands of smallest shingle hashes: two texts with overlap J miss each other with probability ``(1 - J **
+    rows) ** tables``, 1e-5 at 0.8 with the defaults. What is within the radius is only a candidate: a link is a pair
+    whose sets of shingles were compared, so no text below ``similarity`` to all others of its group is in it.
+
+    Rows of equal texts are in one group, null texts count as empty, and texts without words are alike. Null ids are
+    like any other; repeated rows give repeated results.
     """
     bits = 64 * width
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(bits * share + math.sqrt(bits * share * (1 - share)))
+    radius = int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
     sketch = written(sketches(docs, id, text, words, width, tables, rows), "sketch")
     nodes = sketch.select("fp", F.posexplode("keys").alias("tab", "key")).distinct()
-    return _rooted(sketch.drop("keys"), links(nodes, radius))
+    near = written(components(links(nodes, radius, width=width)), "candidates")
+    sketch = sketch.drop("keys")
+    # one row stands for all copies of a text; its text is found again by id and hash
+    chosen = sketch.join(near.withColumnRenamed("node", "fp"), "fp").groupBy("fp", "root").agg(F.min("id").alias("_id"))
+    whole = F.unhex(F.lpad(F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))), 16, "0"))
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), whole.alias("whole"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.substring("fp", 8 * width + 1, 8))
+    sets = written(shingle_sets(texts.join(chosen, same), words), "sets")
+    return _rooted(sketch, confirmed(sets, radius, width, similarity))
 
 
 def _rooted(sketch: DataFrame, edges: DataFrame) -> DataFrame:
@@ -319,8 +429,10 @@ def _rooted(sketch: DataFrame, edges: DataFrame) -> DataFrame:
 def with_components(found: DataFrame) -> DataFrame:
     """``(id, fp, component)``: the smallest id (null only if all are) of everything connected with the row."""
     # copies are merged before ids of a component meet
-    least = found.groupBy("fp", "root").agg(F.min("id").alias("least")).groupBy("root").agg(F.min("least").alias("component"))
-    return found.join(least, "root").select("id", "fp", "component")
+    found = written(found, "rooted")
+    least = found.groupBy("fp", "root").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    least = least.groupBy("root").agg(F.min("least").alias("component"), F.sum("rows").alias("rows"))
+    return meet(found, written(least, "least"), ["root"], "rows").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:

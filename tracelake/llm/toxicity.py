@@ -105,8 +105,11 @@ def held_out(id, parts: int, part: int):
 
 
 def training_rows(labels: DataFrame, label: str, id: str, parts: int, part: int, most: int) -> DataFrame:
-    """At most ``most`` labelled ids outside the held-out part, those with the smallest hash; (id, label), ids once."""
-    rows = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id, parts, part))
+    """At most ``most`` labelled ids outside the held-out part, those with the smallest hash; (id, label), ids once.
+
+    Labels are 0 and 1; rows with any other are left out. An id with both counts as 1.
+    """
+    rows = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id, parts, part))
     rows = rows.groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     return rows.orderBy(F.xxhash64("id"), "id").limit(most)
 
@@ -116,7 +119,8 @@ def fit(docs: DataFrame, training: DataFrame, id: str, text: str, strength: floa
 
     Token counts of all documents make the prior, ``strength`` documents strong; the training documents that hold a
     token are counted against it. Counts are combined by bucket, so the driver gets at most as many rows as there are
-    buckets. The evidence of the training documents, two numbers for each, gives the law and calibration.
+    buckets. The evidence of the training documents, two numbers for each, gives the law and calibration. Rows that
+    repeat a training id count as often as they stand there. Without any training row every score is next to 0.
     """
     total, clean, toxic = _counts(docs, training, id, text)
     n_clean, n_toxic = _sizes(training)
@@ -134,6 +138,8 @@ def fit(docs: DataFrame, training: DataFrame, id: str, text: str, strength: floa
     model = Model(np.clip(scores, LOW, HIGH), 1.0, 1.0)
     seen = _evidence(docs, training, id, text, model)
     if not len(seen):
+        # nothing was learned, so nothing is toxic, however long it is
+        model.slope, model.offset = 0.0, -40.0
         return model
     usual = seen["label"].to_numpy() == 0
     if usual.any():
@@ -256,7 +262,8 @@ def _evidence(docs: DataFrame, training: DataFrame, id: str, text: str, model: M
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``passages``: start and end character, segment score, and how many such are
     expected by chance in a clean text of that length. Null and empty texts have the lowest evidence and no passages.
-    Columns of those names are replaced. Nothing but the text is looked at.
+    Columns of those names are replaced. Nothing but the text is looked at, so repeated rows and equal texts get equal
+    scores; an empty table gives no rows.
     """
     docs = docs.drop("score", "passages")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -207,3 +207,84 @@ def test_url_edges(spark):
     odd = spark.createDataFrame([(None, "/", "block"), ("org", None, "block"), ("ORG", "", "allow")], "host string, path string, verdict string")
     assert urls.judge(pages, odd).where("page_id = 5").first().verdict == "block"
     assert urls.judge(pages.limit(0), none).count() == 0
+
+
+def pairs_of_overlap(overlap, count, size, seed):
+    """Pairs of texts whose sets of five-word shingles overlap by ``overlap`` or a little more, with edits anywhere."""
+    rng = random.Random(seed)
+    made = []
+    while len(made) < count:
+        words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(size)]
+        other, sets = list(words), shingle_set(words)
+        places = rng.sample(range(5, size - 5), size - 10)
+        best = None
+        for at in places:
+            other[at] = "x" + "".join(rng.choices("klmnop", k=6))
+            own = shingle_set(other)
+            share = len(sets & own) / len(sets | own)
+            if share < overlap:
+                break
+            best = (" ".join(words), " ".join(other), share)
+        if best and best[2] < overlap + 0.012:
+            made.append(best)
+    return made
+
+
+def shingle_set(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.mark.parametrize("overlap, linked", [(0.78, False), (0.80, True), (0.82, True)])
+def test_near_duplicates_at_the_limit(frame, overlap, linked):
+    """Every pair at the limit is linked, none below it is."""
+    pairs = pairs_of_overlap(overlap, 200, 400, int(100 * overlap))
+    texts = [t for a, b, _ in pairs for t in (a, b)]
+    roots = {r.id: r.root for r in simhash.similar(frame(texts, extra="")).collect()}
+    found = sum(roots[2 * i] == roots[2 * i + 1] for i in range(200))
+    assert found >= 199 if linked else found == 0
+    assert len(set(roots.values())) == 400 - found
+
+
+def test_near_duplicates_by_brute_force(spark, frame):
+    """Groups, chains, copies and odd texts: the components of all pairs whose sets overlap enough."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    texts = [None, "", "  ", "one", "One", "one two three four five", "ONE two three four five six", "a a a a a a", "a a a a a a a a a"]
+    for size in (40, 120, 700):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for _ in range(5):
+                # a walk: each step is near the one before, not always the first
+                base = [w if rng.random() > 0.02 else word() for w in base]
+                texts.append(rng.choice([" ", "\n"]).join(base))
+    texts += [texts[20]] * 4 + [(texts[30] + " ") * 3]
+    got = {r.id: r.root for r in simhash.similar(frame(texts)).collect()}
+
+    def shingles(text):
+        words = (text or "").encode().translate(simhash.UPPER_TO_LOWER).split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    alike = lambda f: {(i, j) for i in range(len(texts)) for j in range(i) if f(i) == f(j)}
+    assert alike(got.get) == alike(label.__getitem__)
+
+
+def test_confirmed_labels_ask_little():
+    """Pairs of one group are not all asked; pairs that do not hold join nothing."""
+    asked = []
+
+    def holds(i, j):
+        asked.append((i, j))
+        return i // 50 == j // 50
+
+    a, b = np.triu_indices(100, 1)
+    label = simhash.confirmed_labels(100, [(a, b)], holds)
+    assert label.tolist() == [0] * 50 + [50] * 50
+    assert len(asked) < 2500 + 400

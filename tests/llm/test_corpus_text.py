@@ -302,9 +302,10 @@ def plain_chunks(words):
     hashes = [spark_hash(w) for w in bare]
     ends = lambda i: hashes[i] % lines.LINE_WORDS == 0 or "\n" in words[i] or bare[i][-1:] in lines.CLOSING
     starts = [0, *(i + 1 for i in range(len(words) - 1) if ends(i)), len(words)]
+    starts = [x for a, b in zip(starts, starts[1:]) for x in range(a, b, lines.LONGEST_LINE)] + [len(words)]
     line = [spark_hash(*hashes[x:y]) for x, y in zip(starts, starts[1:])]
     rolling = [spark_hash(x, y) for x, y in zip(line, line[1:])]
-    low = [j for j in range(1, len(rolling) - 1) if rolling[j - 1] > rolling[j] <= rolling[j + 1]]
+    low = [j for j in range(1, len(rolling) - 1) if rolling[j - 1] >= rolling[j] <= rolling[j + 1]]
     borders = [0, *(starts[j] for j in low), len(words)]
     return list(zip(borders, borders[1:])), bare
 
@@ -320,8 +321,8 @@ def plain_removal(docs, size=50, share=0.8):
         for a, b in chunks:
             places.setdefault(tuple(bare[a:b]), []).append((r, a, b))
     for r, a, b in (x for group in places.values() if len(group) > 1 for x in group):
-        last = len(words[r]) - size
-        for q in range(min(max(min(a, b - size), 0), last), min(max(a, b - size, 0), last) + 1):
+        last, more = len(words[r]) - size, b - a if b - a > 16 else 0
+        for q in range(min(max(min(a, b - size) - more, 0), last), min(max(a, b - size, 0) + more, last) + 1):
             key = (*words[r][q : q + size - 1], words[r][q + size - 1].rstrip(lines.BLANKS))
             windows.setdefault(key, set()).add((r, q))
     for group in windows.values():
@@ -474,6 +475,6 @@ def test_lines_shuffled_passages(frame):
     rng = random.Random(20)
     parts = [passage(rng, 8) for _ in range(600)]
     other = rng.sample(parts, len(parts))
-    got = lines.remove_repeated(frame([" ".join(parts), " ".join(other)], extra="")).collect()
+    got = lines.remove_repeated(frame([" ".join(parts), " ".join(other)], extra=""), copy_share=1.1).collect()
     sizes = sorted(len(r.text) for r in got)
     assert sizes[0] < 0.02 * sizes[1] and sizes[1] == len(" ".join(parts))

@@ -1,7 +1,7 @@
 """Removal of repeated passages, found by content-defined chunks of lines, in DataFrame expressions only.
 
 A line ends at a line break, behind a word with a closing mark, and behind every word whose hash says so, so prose of any
-layout has short lines. A rolling hash runs over the hashes of two lines; where it is less than before and behind, a chunk
+layout has short lines. A rolling hash runs over the hashes of two lines; where it is least among its neighbours, a chunk
 begins. Such borders depend on the nearest lines only, so a passage has the same chunks wherever it stands. Chunks that
 occur twice anywhere anchor the search: round them, every window of passage length is laid open and looked up among all
 others, so the document that keeps a passage always holds the whole of it. Windows that match go together to runs, runs
@@ -23,6 +23,8 @@ WORD_ENDS = r"(?<=\s)(?=\S)|(?<=[฀-໿က-႟ក-៿぀-ヿ㐀-鿿])(?=\S)"
 CLOSING = list(".!?,;:")
 #: one in so many words ends a line whatever it is
 LINE_WORDS = 6
+#: words of a line in which nothing ends it
+LONGEST_LINE = 32
 
 
 def words_of(text: Column) -> Column:
@@ -56,7 +58,8 @@ def chunks_of(text: Column) -> Column:
         size = F.size(words)
         cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i < size - 1) & ends(i))
         starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1), F.array(size))
-        return let(starts, lambda s: chunked(hashes, s))
+        short = lambda a, b: F.sequence(a, F.greatest(F.coalesce(b, a) - 1, a), F.lit(LONGEST_LINE))
+        return let(starts, lambda s: let(F.flatten(_next(s, short)), lambda x: chunked(hashes, x)))
 
     def chunked(hashes: Column, starts: Column) -> Column:
         span = lambda a, b: F.xxhash64(F.slice(hashes, a + 1, F.greatest(b - a, F.lit(0))))
@@ -66,7 +69,7 @@ def chunks_of(text: Column) -> Column:
 
         def borders(r: Column) -> Column:
             at = lambda j: F.get(r, j)
-            low = F.filter(F.sequence(F.lit(0), F.size(r)), lambda j: (at(j) < at(j - 1)) & (at(j) <= at(j + 1)))
+            low = F.filter(F.sequence(F.lit(0), F.size(r)), lambda j: (at(j) <= at(j - 1)) & (at(j) <= at(j + 1)))
             inner = F.transform(low, lambda j: F.get(starts, j))
             return F.concat(F.array(F.lit(0)), inner, F.array(F.element_at(starts, -1)))
 
@@ -80,12 +83,16 @@ def chunks_of(text: Column) -> Column:
 
 
 def windows_of(text: Column, chunks: Column, size: int) -> Column:
-    """All windows of ``size`` words that hold one of the chunks, or lie in one: first word ``q``, two hashes of the bytes."""
+    """All windows of ``size`` words that hold one of the chunks, or lie in one: first word ``q``, two hashes of the bytes.
+
+    Next to a long chunk others may be as long, and a window between them may hold neither: it is opened as well.
+    """
 
     def at(words: Column) -> Column:
         last = F.size(words) - size
-        low = lambda c: F.least(F.greatest(F.least(c["a"], c["b"] - size), F.lit(0)), last)
-        high = lambda c: F.least(F.greatest(c["a"], c["b"] - size, F.lit(0)), last)
+        more = lambda c: F.when(c["b"] - c["a"] > F.lit(LONGEST_LINE // 2), c["b"] - c["a"]).otherwise(0)
+        low = lambda c: F.least(F.greatest(F.least(c["a"], c["b"] - size) - more(c), F.lit(0)), last)
+        high = lambda c: F.least(F.greatest(c["a"], c["b"] - size, F.lit(0)) + more(c), last)
         places = F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.sequence(low(c), high(c)))))
 
         def window(q: Column) -> Column:

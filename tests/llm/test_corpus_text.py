@@ -305,7 +305,7 @@ def plain_chunks(words):
     starts = [x for a, b in zip(starts, starts[1:]) for x in range(a, b, lines.LONGEST_LINE)] + [len(words)]
     line = [spark_hash(*hashes[x:y]) for x, y in zip(starts, starts[1:])]
     rolling = [spark_hash(x, y) for x, y in zip(line, line[1:])]
-    low = [j for j in range(1, len(rolling) - 1) if rolling[j - 1] >= rolling[j] <= rolling[j + 1]]
+    low = [j for j in range(1, len(rolling)) if rolling[j] <= min(rolling[j - 1 : j + 2])]
     borders = [0, *(starts[j] for j in low), len(words)]
     return list(zip(borders, borders[1:])), bare
 
@@ -321,7 +321,7 @@ def plain_removal(docs, size=50, share=0.8):
         for a, b in chunks:
             places.setdefault(tuple(bare[a:b]), []).append((r, a, b))
     for r, a, b in (x for group in places.values() if len(group) > 1 for x in group):
-        last, more = len(words[r]) - size, b - a if b - a > 16 else 0
+        last, more = len(words[r]) - size, 3 * lines.LONGEST_LINE if b - a >= lines.LONGEST_LINE else 0
         for q in range(min(max(min(a, b - size) - more, 0), last), min(max(a, b - size, 0) + more, last) + 1):
             key = (*words[r][q : q + size - 1], words[r][q + size - 1].rstrip(lines.BLANKS))
             windows.setdefault(key, set()).add((r, q))

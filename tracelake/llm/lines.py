@@ -69,7 +69,7 @@ def chunks_of(text: Column) -> Column:
 
         def borders(r: Column) -> Column:
             at = lambda j: F.get(r, j)
-            low = F.filter(F.sequence(F.lit(0), F.size(r)), lambda j: (at(j) <= at(j - 1)) & (at(j) <= at(j + 1)))
+            low = F.filter(F.sequence(F.lit(0), F.size(r)), lambda j: (at(j) <= at(j - 1)) & F.coalesce(at(j) <= at(j + 1), F.lit(True)))
             inner = F.transform(low, lambda j: F.get(starts, j))
             return F.concat(F.array(F.lit(0)), inner, F.array(F.element_at(starts, -1)))
 
@@ -85,12 +85,12 @@ def chunks_of(text: Column) -> Column:
 def windows_of(text: Column, chunks: Column, size: int) -> Column:
     """All windows of ``size`` words that hold one of the chunks, or lie in one: first word ``q``, two hashes of the bytes.
 
-    Next to a long chunk others may be as long, and a window between them may hold neither: it is opened as well.
+    Next to a chunk of long lines there may be three more, and a window between may hold no chunk: it is opened as well.
     """
 
     def at(words: Column) -> Column:
         last = F.size(words) - size
-        more = lambda c: F.when(c["b"] - c["a"] > F.lit(LONGEST_LINE // 2), c["b"] - c["a"]).otherwise(0)
+        more = lambda c: F.when(c["b"] - c["a"] >= LONGEST_LINE, 3 * LONGEST_LINE).otherwise(0)
         low = lambda c: F.least(F.greatest(F.least(c["a"], c["b"] - size) - more(c), F.lit(0)), last)
         high = lambda c: F.least(F.greatest(c["a"], c["b"] - size, F.lit(0)) + more(c), last)
         places = F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.sequence(low(c), high(c)))))

@@ -266,17 +266,18 @@ class Tokenizer:
     """
 
     def __init__(
-        self, ranks: dict[bytes, int], pattern: str, most: int = 180_000, states: int = 200_000, joins: bool = True
+        self, ranks: dict[bytes, int], pattern: str, most: int = 300_000, states: int = 400_000, joins: bool = True
     ):
         self.split = regex.compile(pattern).findall
         self.odd = re.compile(r"\s |\A | \s| \Z").search
         self.joins = joins
         self.encoder, self.decoder = Encoder(ranks, states), Decoder(ranks)
         self.cuts = Recent(most, lambda rest: self._cut(" " + rest))
+        # the same word stands before many marks
+        self.pieces = Recent(most // 2, lambda piece: tuple(self.encoder.encode(piece.encode("utf-8", "replace"))))
 
     def _cut(self, text: str) -> tuple[tuple[int, ...], str]:
-        encode = self.encoder.encode
-        ids = tuple([i for piece in self.split(text) for i in encode(piece.encode("utf-8", "replace"))])
+        ids = tuple(itertools.chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
         return ids, ",".join(map(str, ids))
 
     def parts(self, text: str | None) -> list[tuple[tuple[int, ...], str]]:
@@ -295,7 +296,7 @@ class Tokenizer:
 _MADE: dict[tuple[str, str, int, int], Tokenizer] = {}
 
 
-def _tokenizer(path: str, pattern: str, most: int = 180_000, states: int = 200_000) -> Tokenizer:
+def _tokenizer(path: str, pattern: str, most: int = 300_000, states: int = 400_000) -> Tokenizer:
     """The latest one of a worker process, which goes on with what it has built in earlier tasks."""
     key = (path, pattern, most, states)
     if key not in _MADE:
@@ -308,6 +309,8 @@ def digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: every text is encoded whole, and its ids are decoded again.
 
     The decoder's text goes into ``decoded_sha256`` as UTF-8. Null texts count as empty: no ids, digests of nothing.
+    Texts are encoded whole, however long; repeated rows get equal results, an empty table gives no rows. A worker keeps
+    what it has built for the tasks that follow, up to some 800 MB.
     ``path`` must be readable on every executor.
     """
     kind = docs.schema[id].dataType.simpleString()
@@ -332,13 +335,14 @@ def digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, text: str = "text", most: int = 180_000, states: int = 200_000
+    docs: DataFrame, path: str, pattern: str, text: str = "text", most: int = 150_000, states: int = 200_000
 ) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``round_trip``: whether the ids decode to the text again.
 
-    Columns of those names are replaced. Null texts have no ids and count as empty. A worker keeps the ids of up to
-    twice ``most`` words and a machine of up to about ``states`` states: about 450 MB with the defaults, 200 MB with a
-    third of them; less only costs time.
+    Columns of those names are replaced. Null texts have no ids and count as empty. Texts are encoded whole, however
+    long; repeated rows get equal ids, an empty table gives no rows. A task keeps the ids of up to twice ``most`` words
+    and a machine of up to about ``states`` states, some 400 MB, and gives them back when it ends: its worker goes on to
+    serve other stages.
     """
     docs = docs.drop("ids", "round_trip")
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
@@ -346,7 +350,7 @@ def encode(
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path, pattern, most, states)
+        tokenizer = Tokenizer(read_ranks(path), pattern, most, states)
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)

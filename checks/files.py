@@ -166,16 +166,66 @@ def newest_orders(spark, sf):
     return listed.select(F.posexplode("keys").alias("p", "o_orderkey")).select((F.col("p") + 1).alias("place"), "o_orderkey")
 
 
+LINE_ROWS = f"with {LINE_SIG} select recording_id, time, entity_path, key, value_num, value_str, ord from line_sig"
+_STORED = ["recording_id", "time", "entity_path", "key", "value_num", "value_str", "ord"]
+
+
+@check("stream_compaction", LINE_ROWS)
+def stream_compaction(spark, sf):
+    """Landed in three parts, taken in after each, and once more with nothing new: every row is stored once."""
+    landed, path = work_dir(spark, "landed"), work_dir(spark, "store")
+    signals = line_signals(spark, sf)
+    for part in range(3):
+        signals.filter(F.col("ord") % 3 == part).write.mode("append").parquet(landed)
+        K.compact_signals(spark, landed, path)
+    K.compact_signals(spark, landed, path)
+    return K.read_signals(spark, path).select(*_STORED)
+
+
 @check(
-    "stream_compaction",
-    f"with {LINE_SIG} select recording_id, count(*) as n from line_sig group by 1",
+    "landed_corrections",
+    f"""with {LINE_SIG} select recording_id, time, entity_path, key,
+      case when ord % 7 = 0 then -value_num else value_num end as value_num, value_str, ord from line_sig""",
 )
-def stream_compaction(spark, sf):
-    """Landed twice, compacted twice: every row is stored once."""
-    landed, store = work_dir(spark, "landed"), work_dir(spark, "store")
+def landed_corrections(spark, sf):
+    """Rows that land again at the same place replace those in the store."""
+    landed, path = work_dir(spark, "landed"), work_dir(spark, "store")
     signals = line_signals(spark, sf)
-    odd = F.col("ord") % 2 == 1
-    for part in (odd, ~odd):
-        signals.filter(part).write.mode("append").parquet(landed)
-        K.compact_signals(spark, landed, store)
-    return K.read_signals(spark, store).groupBy("recording_id").agg(F.count("*").alias("n"))
+    signals.write.parquet(landed)
+    K.compact_signals(spark, landed, path)
+    signals.filter("ord % 7 = 0").withColumn("value_num", -F.col("value_num")).write.mode("append").parquet(landed)
+    K.compact_signals(spark, landed, path)
+    return K.read_signals(spark, path).select(*_STORED)
+
+
+@check(
+    "store_versions",
+    f"""with {LINE_SIG}, told as (select recording_id, count(*) as n, sum(value_num) as total from line_sig group by 1)
+    select recording_id, 1 as version, n, round(total, 2) as total from told
+    union all select recording_id, 2, n, round(case when ends_with(recording_id, '3') then 2 * total else total end, 2) from told
+    union all select recording_id, 3, n, round(case when ends_with(recording_id, '3') then 2 * total else total end, 2) from told""",
+)
+def store_versions(spark, sf):
+    """Some recordings are replaced by doubled values, then what is worn is written anew; all versions stay readable."""
+    path, signals = work_dir(spark, "store"), line_signals(spark, sf)
+    K.write_signals(signals, path)
+    K.write_signals(signals.filter("recording_id like '%3'").withColumn("value_num", 2 * F.col("value_num")), path)
+    K.tidy_signals(spark, path)
+    parts = []
+    for version in (1, 2, 3):
+        rows = K.read_signals(spark, path, version=version)
+        told = rows.groupBy("recording_id").agg(F.count("*").alias("n"), F.round(F.sum("value_num"), 2).alias("total"))
+        parts.append(told.withColumn("version", F.lit(version)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@check(
+    "store_time_range",
+    f"""with {LINE_SIG} select recording_id, time, entity_path, key, value_num, value_str, ord from line_sig
+    where recording_id in ('supp_1', 'supp_2', 'supp_9') and time between 820454400 and 852076800""",
+)
+def store_time_range(spark, sf):
+    """Three recordings in one year: files are chosen by the log, rows by the filter."""
+    path = work_dir(spark, "store")
+    K.write_signals(line_signals(spark, sf), path)
+    return K.read_signals(spark, path, ["supp_1", "supp_2", "supp_9"], (820454400.0, 852076800.0)).select(*_STORED)

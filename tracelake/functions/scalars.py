@@ -72,6 +72,24 @@ def numeric(value: Column, dtype: str = "string") -> Column:
     return F.lit(None).cast("double")
 
 
+def typed_text(text: Column, dtype: Column) -> Column:
+    """The text of a cell as its type writes it."""
+    bare = F.trim(text)
+    return (
+        F.when(dtype == "bigint", bare.try_cast("bigint").cast("string"))
+        .when(dtype == "double", bare.try_cast("double").cast("string"))
+        .when(dtype == "boolean", bare.try_cast("boolean").cast("string"))
+        .otherwise(text)
+    )
+
+
+def typed_number(text: Column, dtype: Column) -> Column:
+    """The number of a cell of a numeric field; bools count as 1 and 0."""
+    bare = F.trim(text)
+    value = F.when(dtype == "boolean", bare.try_cast("boolean").cast("double")).when(dtype != "string", bare.try_cast("double"))
+    return F.when(~F.isnan(value), value)
+
+
 # ---- clocks -----------------------------------------------------------------
 
 
@@ -154,6 +172,17 @@ def normalize_time(value: Column, unit: str = "auto", dtype: str = "string", num
     return seconds
 
 
+def normalize_time_by(text: Column, unit: Column, dtype: Column) -> Column:
+    """:func:`normalize_time` where unit and type differ by row; ``text`` is the cell as its type writes it."""
+    number = numeric(text)
+    chain = F.when(F.lit(False), F.lit(None).cast("double"))
+    for name in TIME_UNITS:
+        as_number = normalize_time(text.try_cast("double"), name, "double")
+        as_text = normalize_time(text, name, "string", number)
+        chain = chain.when(unit == name, F.when(dtype.isin("bigint", "double"), as_number).otherwise(as_text))
+    return chain
+
+
 def unit_tag(seconds: Column, number: Column, unit: str = "auto") -> Column:
     """Unit tag from a cell's seconds and number, both already computed."""
     if unit == "datetime":

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalars import clean, is_clock_type, is_numeric_type, normalize_time, numeric
+from tracelake.functions.scalars import (
+    clean,
+    is_clock_type,
+    is_numeric_type,
+    normalize_time,
+    normalize_time_by,
+    numeric,
+    typed_number,
+    typed_text,
+)
 from tracelake.operators.ordered import with_rank
 from tracelake.schema import SIGNAL_COLUMNS
 
@@ -200,3 +209,86 @@ def with_row_sequence(
 def first_present_field(df: DataFrame, fields: list[str]) -> str | None:
     """First field the frame has as a column, whatever its cells hold."""
     return next((name for name in fields if name in df.columns), None)
+
+
+# ---- many sources, each by its own rules -----------------------------------------------------------------------
+
+
+def mapping_rules(streams: DataFrame, fields: DataFrame, timelines: DataFrame) -> DataFrame:
+    """One row per source: its timeline and all its rules, as :func:`melt_records` joins them to records.
+
+    ``streams`` are mapping rows (``source_id, pos, source_fields, semantic_type, entity_path, enabled``) of many
+    sources, ``fields`` the catalogue of their fields, ``timelines (source_id, recording_id, time_key, unit)`` what each
+    source is called and how its rows are timed. Rules of fields that a source does not have are left out.
+    """
+    kinds = ("scalar", "scalar_group", "state", "text_log")
+    live = streams.filter(F.col("enabled") & F.col("semantic_type").isin(*kinds))
+    named = live.select("source_id", "pos", "semantic_type", "entity_path", F.posexplode("source_fields").alias("at", "field"))
+    known = named.join(fields.select("source_id", "field", "dtype"), ["source_id", "field"])
+    path = F.when(F.col("semantic_type") == "scalar_group", F.concat_ws("/", "entity_path", "field")).otherwise(F.col("entity_path"))
+    rule = F.struct("pos", "at", "field", "dtype", path.alias("entity_path"), "semantic_type")
+    cells = known.groupBy("source_id").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    part = F.struct("at", "field", "dtype")
+    logs = known.filter("semantic_type = 'text_log'").groupBy("source_id", "pos", "entity_path").agg(
+        F.array_sort(F.collect_list(part)).alias("parts")
+    )
+    logs = logs.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "entity_path", "parts"))).alias("logs"))
+    typed = fields.select("source_id", F.col("field").alias("time_key"), F.col("dtype").alias("time_dtype"))
+    timed = timelines.join(typed, ["source_id", "time_key"], "left")
+    return timed.join(cells, "source_id", "left").join(logs, "source_id", "left")
+
+
+def melt_records(records: DataFrame, rules: DataFrame) -> DataFrame:
+    """Signals of the records ``(source_id, ord, cells)`` of many sources, each by its own row of ``rules``.
+
+    One scan: the rules of a source meet its records in one join, by broadcast where the table of rules is small at
+    runtime and else by a shuffle whose large keys the runtime splits. A record's rules are exploded against a map of
+    its cells; cells that are missing give nothing. Records of sources without rules give no signals.
+    """
+    texts = F.map_from_entries(
+        F.transform(F.filter("cells", lambda c: c["text"].isNotNull()), lambda c: F.struct(c["field"], c["text"]))
+    )
+    met = records.join(rules, "source_id").withColumn("_texts", texts)
+    value = lambda field, dtype: typed_text(F.try_element_at("_texts", field), dtype)
+
+    def told(part: Column) -> Column:
+        text = value(part["field"], part["dtype"])
+        shown = F.when(part["dtype"] == "boolean", F.initcap(text)).otherwise(text)
+        return F.concat(part["field"], F.lit("="), shown)
+
+    def cell(path: Column, kind: Column, key: Column, dtype: Column, text: Column) -> Column:
+        return F.struct(
+            path.alias("entity_path"), kind.alias("semantic_type"), key.alias("key"), dtype.alias("dtype"), text.alias("text")
+        )
+
+    single = F.transform(
+        F.coalesce("rules", F.array()),
+        lambda r: cell(r["entity_path"], r["semantic_type"], r["field"], r["dtype"], value(r["field"], r["dtype"])),
+    )
+    joined = lambda log: F.array_join(F.transform(log["parts"], told), " ")
+    message = F.transform(
+        F.coalesce("logs", F.array()),
+        lambda log: cell(log["entity_path"], F.lit("text_log"), F.lit("message"), F.lit("string"), F.nullif(joined(log), F.lit(""))),
+    )
+    time = normalize_time_by(value(F.col("time_key"), F.col("time_dtype")), F.col("unit"), F.col("time_dtype"))
+    cells = met.select(
+        "recording_id", "source_id", time.alias("time"), "ord", F.explode(F.concat(single, message)).alias("c")
+    ).select("recording_id", "source_id", "time", "ord", "c.*")
+    cells = cells.filter("text is not null")
+    dtype, text = F.col("dtype"), F.col("text")
+    number = typed_number(text, dtype)
+    kind = F.when(dtype == "bigint", F.lit("int")).when(dtype == "boolean", F.lit("bool")).otherwise(dtype)
+    wide = (dtype == "bigint") & (F.abs(text.try_cast("bigint")) > _EXACT_INTEGER)
+    out = cells.select(
+        "recording_id",
+        "source_id",
+        "time",
+        "ord",
+        "entity_path",
+        "semantic_type",
+        "key",
+        kind.alias("value_type"),
+        number.alias("value_num"),
+        F.when((dtype == "string") | wide, text).alias("value_str"),
+    )
+    return out.filter("value_num is not null or value_str is not null").select(*SIGNAL_COLUMNS)

@@ -18,7 +18,7 @@ from tracelake.functions.scalars import (
     safe_slug,
     view,
 )
-from tracelake.operators.profile import field_catalogue, long_cells, monotonic
+from tracelake.operators.profile import field_catalogue, long_cells, monotonic, name_fields
 from tracelake.schema import TIME_COLUMN_NAMES
 
 # fixed values: words and weights of the inference rules
@@ -40,7 +40,11 @@ def field_stats(
     steps read: write it once.
     """
     named = fields or [name for name in df.columns if name != ord]
-    cells = long_cells(df, source_id, ord, named)
+    return cell_stats(long_cells(df, source_id, ord, named), field_catalogue(df, named))
+
+
+def cell_stats(cells: DataFrame, catalogue: Column | DataFrame) -> DataFrame:
+    """:func:`field_stats` of long cells; see :func:`tracelake.operators.profile.name_fields` for the catalogue."""
     keys = ["source_id", "position"]
     told = cells.select(
         *keys,
@@ -69,8 +73,7 @@ def field_stats(
         F.sum("unit").alias("_unit"),
     )
     flags = monotonic(cells, keys, "ord", "number")
-    known = F.get(field_catalogue(df, named), F.col("position"))
-    joined = stats.join(flags, keys, "left").select("*", known.alias("_f")).select("*", "_f.field", "_f.dtype", "_f.is_numeric")
+    joined = name_fields(stats.join(flags, keys, "left"), catalogue, ["n", "distinct_count", "_dates", "_unit"])
     count = F.col("n")
     return joined.select(
         "source_id",

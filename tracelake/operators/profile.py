@@ -107,7 +107,25 @@ def field_profiles(
     ``with_order=False`` leaves out the monotonic flag, the only part that orders rows.
     """
     named = fields or [name for name in df.columns if name != ord]
-    cells = long_cells(df, source_id, ord, named)
+    return cell_profiles(long_cells(df, source_id, ord, named), field_catalogue(df, named), with_order)
+
+
+def name_fields(stats: DataFrame, catalogue: Column | DataFrame, counts: list[str]) -> DataFrame:
+    """Name the fields that ``(source_id, position)`` stands for: add ``field``, ``dtype``, ``is_numeric``.
+
+    The catalogue of one frame is an array literal (:func:`field_catalogue`). That of many sources is a table
+    ``(source_id, position, field, dtype, is_numeric, rows)``; there missing cells are no rows, so a field without any
+    cell has no statistics yet: its ``counts`` are 0, and ``row_count`` is that of its source.
+    """
+    if isinstance(catalogue, Column):
+        known = F.get(catalogue, F.col("position"))
+        return stats.select("*", known.alias("_f")).select("*", "_f.field", "_f.dtype", "_f.is_numeric").drop("_f")
+    joined = catalogue.join(stats.drop("row_count"), ["source_id", "position"], "left")
+    return joined.withColumnRenamed("rows", "row_count").fillna(0, counts)
+
+
+def cell_profiles(cells: DataFrame, catalogue: Column | DataFrame, with_order: bool = True) -> DataFrame:
+    """:func:`field_profiles` of long cells; see :func:`name_fields` for the catalogue."""
     cells = cells.withColumn("number", F.coalesce(finite(F.col("number")), F.when(F.col("is_text"), to_number(F.col("text")))))
     cells = cells.withColumn(
         "seconds",
@@ -129,18 +147,18 @@ def field_profiles(
         stats = stats.join(flags, ["source_id", "position"], "left")
     else:
         stats = stats.withColumn("monotonic", F.lit(None).cast("boolean"))
-    known = F.get(field_catalogue(df, named), F.col("position"))
+    stats = name_fields(stats, catalogue, ["non_null_count", "_parsed"])
     rows, filled, parsed = F.col("row_count"), F.col("non_null_count"), F.col("_parsed")
     return stats.select(
         "source_id",
         "position",
-        known["field"].alias("field"),
-        known["dtype"].alias("dtype"),
+        "field",
+        "dtype",
         "row_count",
         (rows - filled).alias("null_count"),
         F.round((rows - filled).cast("double") / rows, 6).alias("null_ratio"),
         "non_null_count",
-        axis(known["field"]).alias("axis"),
+        axis(F.col("field")).alias("axis"),
         F.when(filled > 0, F.round(parsed.cast("double") / filled, 6)).otherwise(0.0).alias("time_parse_ratio"),
         F.col("monotonic").alias("time_monotonic"),
         F.when(F.col("_low") == F.col("_high"), F.col("_low")).when(parsed > 0, F.lit("mixed")).alias("inferred_time_unit"),

@@ -42,9 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove the files of a frame that :func:`materialize` gave, once nothing reads it any more."""
     spark = df.sparkSession
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    for folder in folders:
+    if not base:
+        return
+    plain = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if base and base.split(":", 1)[-1].rstrip("/") in folder:
+        if plain(folder).startswith(plain(base)) and plain(folder) != plain(base):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

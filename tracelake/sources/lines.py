@@ -35,9 +35,9 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
     return numbered.drop("_file", "_block", "_first", "_before", "block", "place")
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, line_number, text)`` of text files; every line counts, blank ones too."""
-    lines = spark.read.text(path).select(
+def read_lines(spark: SparkSession, path: str | list[str], options: dict | None = None) -> DataFrame:
+    """``(file, line_number, text)`` of text files; every line counts, blank ones too. ``options`` go to the reader."""
+    lines = spark.read.options(**(options or {})).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.operators.index import as_column, index_frame
+from tracelake.plans.store import snapshot
 from tracelake.schema import SIGNAL_SCHEMA
 
 _CORRUPT = "_corrupt_record"
@@ -81,8 +82,9 @@ def ingest_folder(
 
 
 def read_signal_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of the signals written below a path."""
-    return spark.readStream.schema(SIGNAL_SCHEMA).parquet(path)
+    """Stream of the signals that land below a path; of a store, of the data files of all its commits as they come."""
+    stored = snapshot(spark, path).version
+    return spark.readStream.schema(SIGNAL_SCHEMA).parquet(f"{path}/data/*" if stored else path)
 
 
 def filter_stream(signals: DataFrame, template: Callable[[DataFrame], DataFrame], target: str):

@@ -296,8 +296,8 @@ def spark_hash(*values):
     return signed(seed)
 
 
-def plain_chunks(words):
-    """Chunks (first word, word behind the last) of a row of words with their blanks."""
+def plain_chunks(words, size=50):
+    """Chunks (hash, first window, last window) of a row of words with their blanks, those that own windows."""
     bare = [w.rstrip(lines.BLANKS) for w in words]
     hashes = [spark_hash(w) for w in bare]
     ends = lambda i: hashes[i] % lines.LINE_WORDS == 0 or "\n" in words[i] or bare[i][-1:] in lines.CLOSING
@@ -306,8 +306,18 @@ def plain_chunks(words):
     line = [spark_hash(*hashes[x:y]) for x, y in zip(starts, starts[1:])]
     rolling = [spark_hash(x, y) for x, y in zip(line, line[1:])]
     low = [j for j in range(1, len(rolling)) if rolling[j] <= min(rolling[j - 1 : j + 2])]
-    borders = [0, *(starts[j] for j in low), len(words)]
-    return list(zip(borders, borders[1:])), bare
+    chunks, last = [], len(words) - size
+    for j, k in zip(low, low[1:]):
+        ends = starts[j - 1] - 1, (starts[k + 3] if k + 3 < len(starts) else len(words)) - size
+        x, y = (max(min(f(ends), last), 0) for f in (min, max))
+        chunks.append((spark_hash(*hashes[starts[j] : starts[k]]), x, y))
+    out = []
+    for i, (h, x, y) in enumerate(chunks):
+        x = max([x, *(c[2] + 1 for c in chunks[max(0, i - lines.NEAR) : i] if c[0] <= h)])
+        y = min([y, *(c[1] - 1 for c in chunks[i + 1 : i + 1 + lines.NEAR] if c[0] < h)])
+        if x <= y:
+            out.append((h, x, y))
+    return out
 
 
 def plain_removal(docs, size=50, share=0.8):
@@ -315,21 +325,23 @@ def plain_removal(docs, size=50, share=0.8):
     texts = {hashlib.md5(t.encode()).digest(): t for _, t in docs if t and len(t) >= size}
     words = {r: re.split(lines.WORD_ENDS, t, flags=re.ASCII) for r, t in texts.items()}
     words = {r: w for r, w in words.items() if len(w) >= size}
-    places, windows, found = {}, {}, {}
+    covers, windows, found = {}, {}, {}
+    told = lambda r, a, b: (*words[r][a : b - 1], words[r][b - 1].rstrip(lines.BLANKS))
     for r, own in words.items():
-        chunks, bare = plain_chunks(own)
-        for a, b in chunks:
-            places.setdefault(tuple(bare[a:b]), []).append((r, a, b))
-    for r, a, b in (x for group in places.values() if len(group) > 1 for x in group):
-        last, more = len(words[r]) - size, 3 * lines.LONGEST_LINE if b - a >= lines.LONGEST_LINE else 0
-        for q in range(min(max(min(a, b - size) - more, 0), last), min(max(a, b - size, 0) + more, last) + 1):
-            key = (*words[r][q : q + size - 1], words[r][q + size - 1].rstrip(lines.BLANKS))
-            windows.setdefault(key, set()).add((r, q))
-    for group in windows.values():
-        keeper, place = min(group)
-        for r, q in group:
-            if r != keeper or q >= place + size:
-                found.setdefault((r, keeper), set()).update(range(q, q + size))
+        for h, x, y in plain_chunks(own, size):
+            covers.setdefault((h, told(r, x, y + size)), []).append((r, x, y))
+            for q in range(x, y + 1):
+                windows.setdefault((h, told(r, q, q + size)), set()).add((r, q))
+    for (h, _), places in covers.items():
+        first, start, _ = min(places)
+        for r, x, y in places:
+            if (r, x) == (first, start) or (r == first and x < start + size):
+                for q in range(x, y + 1):
+                    keeper, at = min(windows[h, told(r, q, q + size)])
+                    if keeper != r or q >= at + size:
+                        found.setdefault((r, keeper), set()).update(range(q, q + size))
+            else:
+                found.setdefault((r, first), set()).update(range(x, y + size))
 
     def shingles(text):
         own = [w for w in re.split("[ \t-\r]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
@@ -436,16 +448,18 @@ def test_lines_repeat_within_a_document(frame):
 
 
 def test_chunks(frame):
-    """Borders by content: as a plain loop finds them, few, and the same behind another beginning."""
+    """Windows are owned as a plain loop finds them, each once, and by the same chunks behind another beginning."""
     rng = random.Random(17)
     text = passage(rng, 200)
     texts = [text, "another start\n " + text, " ".join(rng.choices("the of and in to is for on by it".split(), k=5000)), "one two", "x"]
-    rows = frame(texts, extra="").select("doc_id", lines.chunks_of(F.col("text")).alias("c")).orderBy("doc_id").collect()
-    for text, row in zip(texts, rows):
+    rows = frame(texts, extra="").select("doc_id", lines.chunks_of(F.col("text"), 50).alias("c")).orderBy("doc_id").collect()
+    for text, row in zip(texts[:3], rows):
         words = re.split(lines.WORD_ENDS, text, flags=re.ASCII)
-        assert [(c.a, c.b) for c in row.c] == plain_chunks(words)[0]
-    first, other = ({c.h for c in row.c} for row in rows[:2])
-    assert len(first - other) <= 2 and 1800 / 16 < len(rows[0].c) < 1800 / 5
+        assert [(c.h, c.q, c.q + c.n - 1) for c in row.c] == plain_chunks(words)
+    owned = [q for c in rows[0].c for q in range(c.q, c.q + c.n)]
+    assert len(owned) == len(set(owned)) > 0.98 * 1751 and len(rows[0].c) < 1800 / 12
+    first, other = ({(c.h, c.s) for c in row.c} for row in rows[:2])
+    assert len(first - other) <= 2
 
 
 def test_lines_keep_one_whole_passage(frame):

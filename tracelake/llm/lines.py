@@ -2,10 +2,12 @@
 
 A line ends at a line break, behind a word with a closing mark, and behind every word whose hash says so, so prose of any
 layout has short lines. A rolling hash runs over the hashes of two lines; where it is least among its neighbours, a chunk
-begins. Such borders depend on the nearest lines only, so a passage has the same chunks wherever it stands. Chunks that
-occur twice anywhere anchor the search: round them, every window of passage length is laid open and looked up among all
-others, so the document that keeps a passage always holds the whole of it. Windows that match go together to runs, runs
-are compared with what is kept byte by byte, and then they go.
+begins. Such borders depend on the nearest lines only. Of the chunks that a window of passage length holds together with
+those lines, the one with the least hash owns the window, so equal windows are owned by equal chunks, wherever they
+stand. Chunks meet globally, each with the hash of all that its windows cover. Texts that agree on the whole of it repeat
+each other there; where one chunk covers different words, its windows are laid open and looked up one by one, so the text
+that keeps a passage always holds the whole of it. Windows that match go together to runs, runs are compared with what is
+kept byte by byte, and then they go.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ BLANKS = " \t\n\x0b\f\r"
 WORD_ENDS = r"(?<=\s)(?=\S)|(?<=[฀-໿က-႟ក-៿぀-ヿ㐀-鿿])(?=\S)"
 CLOSING = list(".!?,;:")
 #: one in so many words ends a line whatever it is
-LINE_WORDS = 6
+LINE_WORDS = 2
 #: words of a line in which nothing ends it
 LONGEST_LINE = 32
+#: chunks to either side that a chunk is compared with; where more share a window, more than one may own it
+NEAR = 8
 
 
 def words_of(text: Column) -> Column:
@@ -41,13 +45,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _whole(pairs: Column) -> Column:
+    """All values but the last."""
+    return F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))
+
+
 def _next(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     """``join`` of every value and the one behind it, null behind the last."""
     return F.zip_with(values, F.slice(values, 2, F.size(values)), join)
 
 
-def chunks_of(text: Column) -> Column:
-    """Chunks as structs: first word ``a``, word behind the last ``b``, and hash ``h`` of the words."""
+def chunks_of(text: Column, size: int) -> Column:
+    """Chunks that own windows of ``size`` words, as structs: hash ``h`` of the chunk, first window ``q``, how many there
+    are ``n``, and hash ``s`` of the bytes they cover."""
 
     def of(words: Column, hashes: Column) -> Column:
         def ends(i: Column) -> Column:
@@ -55,70 +65,90 @@ def chunks_of(text: Column) -> Column:
             chosen = F.pmod(F.get(hashes, i), F.lit(LINE_WORDS)) == 0
             return chosen | F.contains(word, F.lit("\n")) | F.right(bare(word), F.lit(1)).isin(CLOSING)
 
-        size = F.size(words)
-        cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i < size - 1) & ends(i))
-        starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1), F.array(size))
+        count = F.size(words)
+        cuts = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (i < count - 1) & ends(i))
+        starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1), F.array(count))
         short = lambda a, b: F.sequence(a, F.greatest(F.coalesce(b, a) - 1, a), F.lit(LONGEST_LINE))
-        return let(starts, lambda s: let(F.flatten(_next(s, short)), lambda x: chunked(hashes, x)))
+        cut_short = let(starts, lambda s: F.concat(_whole(F.flatten(_next(s, short))), F.array(count)))
+        return let(cut_short, lambda s: let(borders(hashes, s), lambda c: let(chunked(words, hashes, s, c), lambda x: owning(words, x))))
+
+    def span(values: Column, a: Column, b: Column) -> Column:
+        return F.xxhash64(F.slice(values, a + 1, F.greatest(b - a, F.lit(0))))
 
-    def chunked(hashes: Column, starts: Column) -> Column:
-        span = lambda a, b: F.xxhash64(F.slice(hashes, a + 1, F.greatest(b - a, F.lit(0))))
-        whole = lambda pairs: F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))
-        lines = whole(_next(starts, lambda a, b: F.when(b.isNotNull(), span(a, b))))
-        rolling = let(lines, lambda x: whole(_next(x, lambda p, q: F.xxhash64(p, q))))
+    def borders(hashes: Column, starts: Column) -> Column:
+        """Numbers of the lines at which chunks begin."""
+        lines = _whole(_next(starts, lambda a, b: F.when(b.isNotNull(), span(hashes, a, b))))
+        rolling = let(lines, lambda x: _whole(_next(x, lambda p, q: F.xxhash64(p, q))))
 
-        def borders(r: Column) -> Column:
+        def least(r: Column) -> Column:
             at = lambda j: F.get(r, j)
-            low = F.filter(F.sequence(F.lit(0), F.size(r)), lambda j: (at(j) <= at(j - 1)) & F.coalesce(at(j) <= at(j + 1), F.lit(True)))
-            inner = F.transform(low, lambda j: F.get(starts, j))
-            return F.concat(F.array(F.lit(0)), inner, F.array(F.element_at(starts, -1)))
+            low = lambda j: (at(j) <= at(j - 1)) & F.coalesce(at(j) <= at(j + 1), F.lit(True))
+            return F.filter(F.sequence(F.lit(0), F.size(r)), low)
 
-        pairs = let(rolling, borders)
-        return let(
-            pairs,
-            lambda x: whole(_next(x, lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.when(b.isNotNull(), span(a, b)).alias("h")))),
-        )
+        return let(rolling, least)
+
+    def chunked(words: Column, hashes: Column, starts: Column, borders: Column) -> Column:
+        """Chunks with the first and the last window that holds them and the lines that their borders depend on."""
+        last = F.size(words) - size
+        inside = lambda q: F.greatest(F.least(q, last), F.lit(0))
+
+        def chunk(j: Column, k: Column) -> Column:
+            a, b = F.get(starts, j), F.get(starts, k)
+            before, behind = F.get(starts, j - 1) - 1, F.coalesce(F.get(starts, k + 3), F.size(words)) - size
+            return F.struct(
+                F.when(k.isNotNull(), span(hashes, a, b)).alias("h"),
+                inside(F.least(before, behind)).alias("low"),
+                inside(F.greatest(before, behind)).alias("high"),
+            )
+
+        return _whole(_next(borders, chunk))
+
+    def owning(words: Column, chunks: Column) -> Column:
+        def own(x: Column, k: Column) -> Column:
+            near = F.lit(NEAR)
+            left = F.filter(F.slice(chunks, F.greatest(k - near + 1, F.lit(1)), F.least(k, near)), lambda y: y["h"] <= x["h"])
+            right = F.filter(F.slice(chunks, k + 2, near), lambda y: y["h"] < x["h"])
+            first = F.greatest(x["low"], F.coalesce(F.array_max(F.transform(left, lambda y: y["high"])) + 1, x["low"]))
+            final = F.least(x["high"], F.coalesce(F.array_min(F.transform(right, lambda y: y["low"])) - 1, x["high"]))
+            return F.struct(x["h"].alias("h"), first.alias("q"), (final - first + 1).alias("n"))
+
+        def told(x: Column) -> Column:
+            end = x["q"] + x["n"] + (size - 2)
+            cover = F.xxhash64(F.slice(words, x["q"] + 1, end - x["q"]), bare(F.get(words, end)))
+            return F.struct(x["h"], cover.alias("s"), x["q"], x["n"])
+
+        return F.transform(F.filter(F.transform(chunks, own), lambda x: x["n"] > 0), told)
 
     return let(words_of(text), lambda words: let(F.transform(words, lambda w: F.xxhash64(bare(w))), lambda h: of(words, h)))
 
 
 def windows_of(text: Column, chunks: Column, size: int) -> Column:
-    """All windows of ``size`` words that hold one of the chunks, or lie in one: first word ``q``, two hashes of the bytes.
-
-    Next to a chunk of long lines there may be three more, and a window between may hold no chunk: it is opened as well.
-    """
+    """The windows of some chunks: hash ``h`` of the chunk, first word ``q``, and hash ``x`` of the bytes."""
 
     def at(words: Column) -> Column:
-        last = F.size(words) - size
-        more = lambda c: F.when(c["b"] - c["a"] >= LONGEST_LINE, 3 * LONGEST_LINE).otherwise(0)
-        low = lambda c: F.least(F.greatest(F.least(c["a"], c["b"] - size) - more(c), F.lit(0)), last)
-        high = lambda c: F.least(F.greatest(c["a"], c["b"] - size, F.lit(0)) + more(c), last)
-        places = F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.sequence(low(c), high(c)))))
-
-        def window(q: Column) -> Column:
+        def window(h: Column, q: Column) -> Column:
             # blanks behind the last word do not count
             inner, end = F.slice(words, q + 1, size - 1), bare(F.get(words, q + (size - 1)))
-            return F.struct(q.alias("q"), F.xxhash64(inner, end).alias("x"), F.xxhash64(F.lit(size), inner, end).alias("y"))
+            return F.struct(h.alias("h"), q.alias("q"), F.xxhash64(inner, end).alias("x"))
 
-        return F.transform(places, window)
+        places = lambda c: F.sequence(c["q"], c["q"] + c["n"] - 1)
+        return F.flatten(F.transform(chunks, lambda c: F.transform(places(c), lambda q: window(c["h"], q))))
 
     return let(words_of(text), at)
 
 
-def runs_of(places: Column, size: int) -> Column:
-    """Windows ``(shift, q)`` as runs ``(a, b, shift)``: those that follow one another at one shift go together."""
+def runs_of(found: Column, size: int) -> Column:
+    """Pieces ``(shift, a, b)`` as runs ``(a, b, shift)``: windows that follow one another at one shift go together."""
 
     def of(s: Column) -> Column:
         before = lambda i, name: F.get(s, i - 1)[name]
         here = lambda i, name: F.get(s, i)[name]
-        opens = lambda i: (i == 0) | (before(i, "shift") != here(i, "shift")) | (before(i, "q") + 1 != here(i, "q"))
+        opens = lambda i: (i == 0) | (before(i, "shift") != here(i, "shift")) | (here(i, "a") > before(i, "b") - size + 1)
         firsts = F.concat(F.filter(F.sequence(F.lit(0), F.size(s) - 1), opens), F.array(F.size(s)))
-        run = lambda i, j: F.struct(
-            here(i, "q").alias("a"), (F.get(s, j - 1)["q"] + size).alias("b"), here(i, "shift").alias("shift")
-        )
-        return let(firsts, lambda f: F.slice(_next(f, run), 1, F.size(f) - 1))
+        run = lambda i, j: F.struct(here(i, "a").alias("a"), F.get(s, j - 1)["b"].alias("b"), here(i, "shift").alias("shift"))
+        return let(firsts, lambda f: _whole(_next(f, run)))
 
-    return let(F.array_sort(places), of)
+    return let(F.array_sort(found), of)
 
 
 def remove_repeated(
@@ -133,8 +163,7 @@ def remove_repeated(
 
     A passage is a run of ``passage_words`` words or more that two different texts share byte by byte, or that a text
     repeats behind itself. It stays in the text with the smallest digest (in one text: where it stands first) and goes
-    from all others. A passage is seen if it holds a whole chunk and the lines next to it, so that its borders are the
-    same everywhere: about 10 words a chunk, and 20 around.
+    from all others. A passage is seen if it holds a chunk, about 10 words, with a line before and two behind it.
 
     Rows of equal texts are copies of one document and get equal results: a copy is not cut because of the other. So is
     a text whose set of ``shingle_words``-word shingles overlaps with another's by ``copy_share`` or more: what it shares
@@ -150,32 +179,49 @@ def remove_repeated(
     docs = docs.drop("removed_chars")
     rid, drops = inner_names(docs, "rid", "drops")
     marked = docs.withColumn(rid, F.unhex(F.md5(F.col(text))))
-    own = marked.select(F.col(rid).alias("rid"), F.col(text).alias("text")).where(F.length("text") >= passage_words)
-    chunks = own.where(F.size(words_of(F.col("text"))) >= passage_words)
-    chunks = written(chunks.select("rid", F.explode(chunks_of(F.col("text"))).alias("c")).select("rid", "c.a", "c.b", "c.h"), "chunks")
-    place = F.struct("rid", "a")
-    known = chunks.groupBy("h").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("n"))
-    known = written(known.where("least != most").select("h", "n"), "repeated")
-    anchors = meet(chunks, known, ["h"], "n").groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("chunks"))
-    anchors = written(anchors, "anchors")
+    size = passage_words
+    own = marked.select(F.col(rid).alias("rid"), F.col(text).alias("text")).where(F.length("text") >= size)
+    chunks = own.select("rid", F.explode(chunks_of(F.col("text"), size)).alias("c")).select("rid", "c.h", "c.s", "c.q", "c.n")
+    chunks = written(chunks, "chunks")
+    place, fields = F.struct("rid", "q"), ["h", "s", "first", "rows"]
+    covers = chunks.groupBy("h", "s").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("rows"))
+    covers = written(covers, "covers")
+    several = covers.groupBy("h").agg(F.count("*").alias("covers"), F.min("first").alias("least"), F.max("last").alias("most"))
+    several = written(several.where("covers > 1 and least != most").select("h", "covers"), "several")
+    # what stands at more than one place, and chunks of which different words stand around
+    met = meet(covers, several, ["h"], "covers", how="left").where("first != last or covers is not null")
+    met = written(met.select(*fields, F.col("covers").isNotNull().alias("open")), "met")
+    kept = written(meet(chunks, met, ["h", "s"], "rows").select("rid", "h", "q", "n", "first", "open"), "kept")
+    # a place that overlaps the kept one in the same text is looked at by windows
+    beside = F.expr(f"rid = first.rid and q > first.q and q < first.q + {size}")
+    is_first = F.struct("rid", "q") == F.col("first")
+    piece = lambda a, b, keeper: F.struct((F.col("q") - F.col(f"{keeper}.q")).alias("shift"), a.alias("a"), b.alias("b"))
+    whole = kept.where(~is_first & ~beside).select(
+        "rid", F.col("first.rid").alias("from"), piece(F.col("q"), F.col("q") + F.col("n") + (size - 1), "first").alias("piece")
+    )
+    # and so is the kept one, which covers the same
+    opens = kept.where((is_first & F.col("open")) | beside).select("rid", F.struct("h", "q", "n").alias("c"))
+    opens = opens.union(kept.where(beside).select("rid", F.struct("h", F.col("first.q").alias("q"), "n").alias("c")))
+    # in monotonous texts a chunk may own so many windows that they repeat one another
+    many = chunks.where(F.col("n") > size).select("rid", F.struct("h", "q", "n").alias("c"))
+    chosen = opens.union(many).groupBy("rid").agg(F.collect_set("c").alias("chunks"))
     # one row for all copies of a text
-    texts = own.join(anchors.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
+    used = kept.where("open or first.rid != rid or q > first.q").select("rid").union(kept.select("first.rid"))
+    used = used.union(many.select("rid")).distinct()
+    texts = own.join(used, "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
-    opened = texts.join(anchors, "rid").select("rid", F.explode(windows_of(F.col("text"), F.col("chunks"), passage_words)).alias("w"))
-    opened = written(opened.select("rid", "w.q", "w.x", "w.y"), "windows")
-    place = F.struct("rid", "q")
-    kept = opened.groupBy("x", "y").agg(F.min(place).alias("keeper"), F.max(place).alias("most"), F.count("*").alias("n"))
-    kept = written(kept.where("keeper != most").drop("most"), "keepers")
-    found = meet(opened, kept, ["x", "y"], "n")
-    # within a text, windows that overlap the kept one stay
-    found = found.where(f"rid != keeper.rid or q >= keeper.q + {passage_words}")
-    found = found.select("rid", F.col("keeper.rid").alias("from"), "q", (F.col("q") - F.col("keeper.q")).alias("shift"))
-    pairs = found.groupBy("rid", "from").agg(F.collect_list(F.struct("shift", "q")).alias("places"))
-    pairs = written(pairs.select("rid", "from", runs_of(F.col("places"), passage_words).alias("runs")), "pairs")
+    opened = texts.join(chosen, "rid").select("rid", F.explode(windows_of(F.col("text"), F.col("chunks"), size)).alias("w"))
+    opened = written(opened.select("rid", "w.h", "w.x", "w.q"), "windows")
+    twice = opened.groupBy("h", "x").agg(F.min(place).alias("keeper"), F.max(place).alias("most"), F.count("*").alias("n"))
+    twice = written(twice.where("keeper != most").drop("most"), "keepers")
+    found = meet(opened, twice, ["h", "x"], "n").where(f"rid != keeper.rid or q >= keeper.q + {size}")
+    single = found.select("rid", F.col("keeper.rid").alias("from"), piece(F.col("q"), F.col("q") + size, "keeper").alias("piece"))
+    pairs = whole.union(single).groupBy("rid", "from").agg(F.collect_set("piece").alias("pieces"))
+    pairs = written(pairs.select("rid", "from", runs_of(F.col("pieces"), size).alias("runs")), "pairs")
     both = pairs.join(texts.withColumnRenamed("text", "own"), "rid")
     both = both.join(texts.select(F.col("rid").alias("from"), F.col("text").alias("other")), "from")
-    piece = lambda words, a, b: F.concat(F.array_join(F.slice(words, a + 1, b - a - 1), ""), bare(F.get(words, b - 1)))
-    same = lambda x, y, run: piece(x, run["a"], run["b"]) == piece(y, run["a"] - run["shift"], run["b"] - run["shift"])
+    bytes_of = lambda words, a, b: F.concat(F.array_join(F.slice(words, a + 1, b - a - 1), ""), bare(F.get(words, b - 1)))
+    same = lambda x, y, run: bytes_of(x, run["a"], run["b"]) == bytes_of(y, run["a"] - run["shift"], run["b"] - run["shift"])
     cuts = let(words_of(F.col("own")), lambda x: let(words_of(F.col("other")), lambda y: F.filter("runs", lambda run: same(x, y, run))))
     both = both.withColumn("cuts", cuts).where(F.size("cuts") > 0)
     lists = both.where((F.col("rid") == F.col("from")) | ~_copies(copy_share, shingle_words))

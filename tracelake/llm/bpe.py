@@ -266,7 +266,7 @@ class Tokenizer:
     """
 
     def __init__(
-        self, ranks: dict[bytes, int], pattern: str, most: int = 300_000, states: int = 400_000, joins: bool = True
+        self, ranks: dict[bytes, int], pattern: str, most: int = 400_000, states: int = 500_000, joins: bool = True
     ):
         self.split = regex.compile(pattern).findall
         self.odd = re.compile(r"\s |\A | \s| \Z").search
@@ -296,7 +296,7 @@ class Tokenizer:
 _MADE: dict[tuple[str, str, int, int], Tokenizer] = {}
 
 
-def _tokenizer(path: str, pattern: str, most: int = 300_000, states: int = 400_000) -> Tokenizer:
+def _tokenizer(path: str, pattern: str, most: int = 400_000, states: int = 500_000) -> Tokenizer:
     """The latest one of a worker process, which goes on with what it has built in earlier tasks."""
     key = (path, pattern, most, states)
     if key not in _MADE:
@@ -310,7 +310,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text:
 
     The decoder's text goes into ``decoded_sha256`` as UTF-8. Null texts count as empty: no ids, digests of nothing.
     Texts are encoded whole, however long; repeated rows get equal results, an empty table gives no rows. A worker keeps
-    what it has built for the tasks that follow, up to some 800 MB.
+    what it has built for the tasks that follow, up to some 900 MB.
     ``path`` must be readable on every executor.
     """
     kind = docs.schema[id].dataType.simpleString()

@@ -229,3 +229,53 @@ def store_time_range(spark, sf):
     path = work_dir(spark, "store")
     K.write_signals(line_signals(spark, sf), path)
     return K.read_signals(spark, path, ["supp_1", "supp_2", "supp_9"], (820454400.0, 852076800.0)).select(*_STORED)
+
+
+@check(
+    "folder_import",
+    """with c as (select 'csv/c_nationkey=' || cast(c_nationkey as varchar) || '/' as folder, c_custkey as t, c_acctbal as num, c_mktsegment as word,
+        cast(null as bigint) as whole, row_number() over (partition by c_nationkey order by c_custkey) as ord from customer),
+      j as (select 'json/o_orderstatus=' || o_orderstatus || '/' as folder, o_orderkey as t, o_totalprice as num, o_orderpriority as word,
+        o_custkey as whole, row_number() over (partition by o_orderstatus order by o_orderkey) as ord from orders),
+      e as (select 'tsv/event_type=' || event_type || '/' as folder, event_id as t, value as num, cast(null as varchar) as word,
+        user_id as whole, row_number() over (partition by event_type order by event_id) as ord from events),
+      r as (select * from c union all select * from j union all select * from e),
+      n as (select folder, 'drop_' || lpad(cast(row_number() over (order by folder) as varchar), 3, '0') as recording_id
+        from (select distinct folder from r)),
+      kinds as (select folder, left(folder, 3) as kind from n),
+      m as (select recording_id, folder, cast(t as double) as time, ord, num, word, whole, kind from r join n using (folder) join kinds using (folder))
+    select recording_id, time, case kind when 'tsv' then '/metrics/value' when 'jso' then '/metrics/total' else '/metrics/balance' end as entity_path,
+      case kind when 'tsv' then 'value' when 'jso' then 'total' else 'balance' end as key, 'double' as value_type, num as value_num,
+      cast(null as varchar) as value_str, ord from m where num is not null
+    union all select recording_id, time, case kind when 'jso' then '/states/priority' else '/states/segment' end,
+      case kind when 'jso' then 'priority' else 'segment' end, 'string', null, word, ord from m where word is not null
+    union all select recording_id, time, case kind when 'jso' then '/metrics/who_customer' else '/metrics/user' end,
+      case kind when 'jso' then 'who.customer' else 'user' end, 'int', cast(whole as double), null, ord from m where whole is not null""",
+)
+def folder_import(spark, sf):
+    """Files of three kinds below one folder, each with its own header, delimiter and fields: a recording of every file."""
+    from tracelake.plans.workflow import import_folder
+
+    drop = work_dir(spark, "drop")
+
+    def write(rows, by, order):
+        # one file for every value, its rows in order
+        return rows.repartition(by).sortWithinPartitions(by, order).write.partitionBy(by)
+
+    customers = table(spark, sf, "customer").selectExpr("c_nationkey", "c_custkey t", "c_acctbal balance", "c_mktsegment segment")
+    write(customers, "c_nationkey", "t").csv(f"{drop}/csv", header=True)
+    events = table(spark, sf, "events").selectExpr("event_type", "event_id t", "user_id user", "value")
+    write(events, "event_type", "t").option("extension", "tsv").csv(f"{drop}/tsv", header=True, sep="\t")
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderstatus", "o_orderkey t", "to_json(struct(o_orderkey t, o_totalprice total, o_orderpriority priority, struct(o_custkey customer) who)) value"
+    )
+    ordered = orders.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "t").select("o_orderstatus", "value")
+    ordered.write.partitionBy("o_orderstatus").text(f"{drop}/json")
+    # writers name such files .txt
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{drop}/json")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in S.list_files(spark, f"{drop}/json/*/*.txt").select("path").collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(row.path)
+        store.rename(path, spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), path.getName().replace(".txt", ".jsonl")))
+    signals = import_folder(spark, drop, "drop").signals
+    return signals.select("recording_id", "time", "entity_path", "key", "value_type", "value_num", "value_str", "ord")

@@ -10,7 +10,6 @@ from tracelake.functions.scalars import topic_entity_path
 from tracelake.operators import profile as P
 from tracelake.operators import quality as Q
 from tracelake.operators.index import index_frame
-from tracelake.operators.query import find_errors, low_battery
 from tracelake.plans import diagnostics as D
 from tracelake.session import materialize
 
@@ -157,7 +156,7 @@ _LOG_FINDINGS = """
 
 @check("log_findings", f"with {SIG} {_LOG_FINDINGS}")
 def log_findings(spark, sf):
-    return D.log_findings(find_errors(event_signals(spark, sf))).select(*PLAIN)
+    return D.row_findings(event_signals(spark, sf), LIMITS).filter("category = 'logs_and_states'").select(*PLAIN)
 
 
 _BATTERY_FINDINGS = """
@@ -171,7 +170,7 @@ _BATTERY_FINDINGS = """
     '/metrics/power' as entity_path, 'battery' as key, 'Battery value is below 0.2.' as message from ev where value < 0.2""",
 )
 def battery_findings(spark, sf):
-    return D.battery_findings(low_battery(battery_signals(spark, sf), 0.2), LIMITS).select(*PLAIN)
+    return D.row_findings(battery_signals(spark, sf), LIMITS).filter("category = 'battery'").select(*PLAIN)
 
 
 _DRIFT = """
@@ -313,11 +312,126 @@ def findings(spark, sf):
 
 @check(
     "finding_ids",
-    f"""with {_EVENT_FINDINGS} select 'diag_' || case when n < 1000 then lpad(cast(n as varchar), 4, '0')
-      else cast(n as varchar) end as id from (select row_number() over () as n from found)""",
+    f"""with {_EVENT_FINDINGS}, stepped as (select *, case
+        when starts_with(message, 'No recognized') then 2 when starts_with(message, 'TF transform') then 3 when category = 'time_sync' then 9
+        when category = 'logs_and_states' then 10 when starts_with(message, 'Timeline values') then 18
+        when starts_with(message, 'Duplicate') then 19 when starts_with(message, 'A large') then 20
+        when ends_with(message, 'is constant in indexed rows.') then 22 when starts_with(message, 'Numeric') then 23 else 24 end as step from found),
+      numbered as (select *, row_number() over (order by step, recording_id nulls first, source_id nulls first,
+        entity_path nulls first, key nulls first, message) as n from stepped)
+    select 'diag_' || case when n < 1000 then lpad(cast(n as varchar), 4, '0') else cast(n as varchar) end as id,
+      category, recording_id, source_id, entity_path, key, message from numbered""",
 )
 def finding_ids(spark, sf):
-    return D.with_finding_ids(D.all_findings(event_inputs(spark, sf), LIMITS)).select("id")
+    """Which finding has which number; rows of one place and message differ in their time only."""
+    found = D.with_finding_ids(D.all_findings(event_inputs(spark, sf), LIMITS))
+    return found.select("id", "category", "recording_id", "source_id", "entity_path", "key", "message")
+
+
+# ---- findings of sources and profiles that the events do not have ---------------------------------------------
+
+_PLAIN_NULLS = "cast(null as varchar) as recording_id"
+
+
+@check(
+    "source_findings",
+    f"""with s as (select s_suppkey as k, 's' || cast(s_suppkey as varchar) as source_id,
+        case s_suppkey % 3 when 0 then 'ros2_db3' when 1 then 'mcap' else 'csv' end as source_type, s_suppkey % 5 as topics,
+        s_suppkey % 7 as messages, s_suppkey % 2 as good from supplier),
+      skipped as (select 's' || cast(p_partkey % 40 as varchar) as source_id, '/' || p_brand as topic from part
+        where p_size < 5 group by 1, 2)
+    select 'convertibility' as category, 'critical' as severity, {_PLAIN_NULLS}, source_id, cast(null as varchar) as entity_path,
+      cast(null as varchar) as key, 'ROS2 bag has no convertible topics.' as message from s
+      where source_type = 'ros2_db3' and topics > 0 and good = 0
+    union all select 'convertibility', 'warning', null, source_id, '/topics/' || substr(topic, 2), 'convertible',
+      'Topic ' || topic || ' cannot be converted.' from skipped
+    union all select 'message_volume', 'critical', null, source_id, null, null, 'Recording source has no topic or message volume.' from s
+      where source_type <> 'csv' and (topics = 0 or messages = 0) and k % 4 <> 0""",
+)
+def source_findings(spark, sf):
+    """Bags without convertible topics, skipped topics, and selected recordings without messages."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("s"), k.cast("string")).alias("source_id")
+    supplier, part = table(spark, sf, "supplier"), table(spark, sf, "part")
+    kind = F.when(k % 3 == 0, "ros2_db3").when(k % 3 == 1, "mcap").otherwise("csv").alias("source_type")
+    sources = supplier.select(
+        name, kind, (k % 5).alias("topic_count"), (k % 7).alias("message_count"), (k % 2).alias("convertible_topic_count")
+    )
+    owner = F.concat(F.lit("s"), (F.col("p_partkey") % 40).cast("string")).alias("source_id")
+    skipped = part.filter("p_size < 5").select(
+        owner, F.concat(F.lit("/"), F.col("p_brand")).alias("topic"), F.lit("x").alias("message_type"), F.lit("y").alias("skip_reason")
+    )
+    recordings = supplier.filter(k % 4 != 0).select(name, F.lit("r").alias("recording_id"))
+    found = D.convertibility_findings(sources, skipped, None).unionByName(D.volume_findings(recordings, sources, None))
+    return found.unionByName(D.recording_findings(recordings)).select(*PLAIN)
+
+
+@check(
+    "no_recordings",
+    """select 'message_volume' as category, 'critical' as severity, 'No recordings are available for diagnostics.' as message
+    where (select count(*) from orders where o_totalprice < 0) = 0""",
+)
+def no_recordings(spark, sf):
+    """Orders without a price are recordings: there are none."""
+    none = table(spark, sf, "orders").filter("o_totalprice < 0")
+    return D.recording_findings(none).select("category", "severity", "message")
+
+
+@check(
+    "schema_findings",
+    """with p as (select 'n' || cast(c_nationkey as varchar) as source_id, c_name as field, c_custkey % 101 as empty from customer
+        where c_nationkey % 5 <> 4),
+      t as (select n_nationkey as k, 'n' || cast(n_nationkey as varchar) as source_id from nation),
+      found as (
+      select 'schema_quality' as category, 'warning' as severity, source_id, cast(null as varchar) as key,
+        'No fields were available in the schema profile.' as message from t where k % 5 = 4
+      union all select 'schema_quality', 'warning', source_id, 't', 'No usable timeline field was detected.' from t where k % 2 = 0 and k % 3 = 0
+      union all select 'schema_quality', 'warning', source_id, 't', 'Timeline field appears to mix multiple time units.' from t where k % 6 = 1
+      union all select 'schema_quality', case when empty >= 50 then 'critical' else 'warning' end, source_id, field,
+        'Field ' || field || ' has a high missing-value ratio.' from p where empty >= 20
+      union all select 'time_series_quality', 'warning', source_id, 't', 'Timeline parse ratio is below the warning threshold.' from t
+        where k % 10 < 9
+      union all select 'time_series_quality', 'warning', source_id, 't', 'Timeline values are not monotonic in the sampled profile.' from t
+        where k % 4 = 0
+      union all select 'data_quality', 'warning', source_id, field, 'Field ' || field || ' has no non-empty sampled values.' from p
+        where empty = 100)
+    select * from found""",
+)
+def schema_findings(spark, sf):
+    """Customers are the fields of their nations, more or less empty; nations have more or less good clocks."""
+    empty = (F.col("c_custkey") % 101).cast("bigint")
+    source = lambda name: F.concat(F.lit("n"), F.col(name).cast("string")).alias("source_id")
+    profiles = table(spark, sf, "customer").filter("c_nationkey % 5 <> 4").select(
+        source("c_nationkey"), F.col("c_name").alias("field"), F.lit("double").alias("dtype"), F.lit(100).cast("bigint").alias("row_count"),
+        empty.alias("null_count"), (F.lit(100) - empty).alias("non_null_count"), F.round(empty / 100.0, 6).alias("null_ratio"),
+    )
+    k = F.col("n_nationkey")
+    timelines = table(spark, sf, "nation").select(
+        source("n_nationkey"), F.lit("t").alias("time_key"), (k % 3 != 0).alias("present"), (k % 4 != 0).alias("monotonic"),
+        ((k % 10) / 9.0).alias("parse_ratio"), F.lit("unix_s").alias("inferred_unit"), (k % 6 == 1).alias("mixed_units"),
+        F.when(k % 2 == 0, "csv").otherwise("mcap").alias("source_type"),
+    )
+    found = D.schema_findings(profiles, timelines, LIMITS).unionByName(D.timeline_findings(timelines, LIMITS))
+    return found.unionByName(D.empty_field_findings(profiles)).select("category", "severity", "source_id", "key", "message")
+
+
+@check(
+    "frame_findings",
+    f"""with {LINE_SIG} select 'cv_detection' as category, 'warning' as severity, recording_id, entity_path, key,
+      'CV detection issue: ' || case key when 'pred_box_count' then 'no_prediction' else 'low_score' end || '.' as message
+    from (select recording_id, '/camera/pred/boxes' as entity_path, case key when 'l_discount' then 'score_min' when 'l_tax' then 'score_mean'
+        else 'pred_box_count' end as key, case key when 'l_quantity' then floor(value_num / 10) else value_num * 10 end as v
+      from line_sig where key in ('l_discount', 'l_tax', 'l_quantity'))
+    where case key when 'pred_box_count' then v = 0 else v < 0.5 end""",
+)
+def frame_findings(spark, sf):
+    """Discounts and taxes as scores of frames, quantities as numbers of boxes."""
+    rows = line_signals(spark, sf).filter("key in ('l_discount', 'l_tax', 'l_quantity')")
+    key, value = F.col("key"), F.col("value_num")
+    frames = rows.withColumn("value_num", F.when(key == "l_quantity", F.floor(value / 10)).otherwise(value * 10).cast("double"))
+    named = F.when(key == "l_discount", "score_min").when(key == "l_tax", "score_mean").otherwise("pred_box_count")
+    frames = frames.withColumn("key", named).withColumn("entity_path", F.lit("/camera/pred/boxes"))
+    return D.row_findings(frames, LIMITS).select("category", "severity", "recording_id", "entity_path", "key", "message")
 
 
 @check(
@@ -349,7 +463,8 @@ def check_table(spark, sf):
 
 
 def line_findings(spark, sf):
-    return D.value_findings(Q.measured(order_signals(spark, sf)), LIMITS)
+    rows = Q.measured(order_signals(spark, sf))
+    return D.value_findings(Q.constant_numeric(rows), Q.iqr_outliers(rows), Q.constant_state(rows), 1.5)
 
 
 @check(

@@ -327,3 +327,108 @@ def top3_candidates(spark, sf):
     profiles = event_profiles(spark, sf)
     mappings = profiles.select("source_id", F.lit("o_orderdate").alias("primary_timeline")).distinct()
     return V.time_candidates(profiles, mappings)
+
+
+# ---- rules over fields that are more or less empty: nations with their customers as fields --------------------
+
+_RULE_CODES = (
+    "no_enabled_streams time_nulls time_parse_failure mixed_time_units required_fields_empty fields_empty field_nulls "
+    "ambiguous_field_match image_stream_required"
+).split()
+
+
+@check(
+    "mapping_rules",
+    """with f as (select c_nationkey as k, c_name as field, c_custkey % 3 as e, c_custkey % 7 = 0 as mixed, c_mktsegment as segment
+        from customer),
+      t as (select k, min(field) as field, min_by(e, field) as e, min_by(mixed, field) as mixed, k % 5 = 4 as off, k % 3 = 1 as images
+        from f group by k),
+      s as (select k, segment, min(e) = 2 as empty, max(e) > 0 as gaps from f where k % 5 <> 4 group by k, segment),
+      found as (
+      select k, 'error' as severity, 'no_enabled_streams' as code, cast(null as varchar) as stream_id, cast(null as varchar) as field
+        from t where off
+      union all select k, 'warning', 'time_nulls', null, field from t where not images and e > 0
+      union all select k, 'warning', 'time_parse_failure', null, field from t where not images and e > 0
+      union all select k, 'warning', 'mixed_time_units', null, field from t where not images and mixed
+      union all select k, case segment when 'BUILDING' then 'error' else 'warning' end,
+        case segment when 'BUILDING' then 'required_fields_empty' else 'fields_empty' end, segment, null from s where empty
+      union all select k, 'warning', 'field_nulls', segment, null from s where not empty and gaps
+      union all select k, 'error', 'ambiguous_field_match', segment, case segment when 'AUTOMOBILE' then 'rule' end from s
+        where segment in ('AUTOMOBILE', 'MACHINERY')
+      union all select k, 'error', 'image_stream_required', null, 'image' from t where images)
+    select 'n' || cast(k as varchar) as source_id, severity, code, stream_id, field from found""",
+)
+def mapping_rules(spark, sf):
+    """A stream per nation and segment over its customers; a third of them is full, half empty and empty each."""
+    customer = table(spark, sf, "customer")
+    k, e = F.col("c_nationkey"), F.col("c_custkey") % 3
+    source = F.concat(F.lit("n"), k.cast("string")).alias("source_id")
+    held = F.when(e == 0, 100).when(e == 1, 50).otherwise(0).cast("bigint")
+    profiles = customer.select(
+        source, F.col("c_name").alias("field"), held.alias("non_null_count"), (1 - held / 100.0).alias("null_ratio"),
+        F.lit(None).cast("boolean").alias("time_monotonic"), F.when(e == 0, 1.0).otherwise(0.5).alias("time_parse_ratio"),
+        F.when(F.col("c_custkey") % 7 == 0, "mixed").otherwise("unix_s").alias("inferred_time_unit"), F.lit("unix_s").alias("first_time_unit"),
+    )
+    mappings = customer.groupBy(source, k.alias("k")).agg(F.min("c_name").alias("primary_timeline")).select(
+        "source_id", "primary_timeline", F.when(F.col("k") % 3 == 1, "image_folder").otherwise("tabular").alias("family"),
+        F.lit("auto").alias("timeline_unit"), F.lit("source").alias("timeline_sort"),
+    )
+    segment = F.col("c_mktsegment")
+    none = F.lit(None).cast("string")
+    matches = "array<struct<field: string, candidates: array<string>>>"
+    one = F.array(F.struct(F.lit("rule").alias("field"), F.array(F.lit("a"), F.lit("b")).alias("candidates")))
+    streams = customer.groupBy(source, k.alias("k"), segment.alias("stream_id")).agg(F.sort_array(F.collect_list("c_name")).alias("source_fields"))
+    stream = F.col("stream_id")
+    streams = streams.select(
+        "source_id", F.length("stream_id").alias("pos"), "stream_id", none.alias("rule_key"), stream.alias("name"), "source_fields",
+        F.lit("scalar").alias("semantic_type"), F.concat(F.lit("/m/"), stream).alias("entity_path"), (F.col("k") % 5 != 4).alias("enabled"),
+        (stream == "BUILDING").alias("required"), none.alias("expected_unit"), none.alias("source_unit"),
+        F.array().cast("array<string>").alias("template_missing_fields"),
+        F.when(stream == "AUTOMOBILE", one).otherwise(F.array().cast(matches)).cast(matches).alias("match_candidates"),
+        stream.isin("AUTOMOBILE", "MACHINERY").alias("match_ambiguous"),
+    )
+    issues = V.mapping_issues(mappings, streams, profiles).filter(F.col("code").isin(*_RULE_CODES))
+    return issues.select("source_id", "severity", "code", "stream_id", "field")
+
+
+@check(
+    "source_rules",
+    """with s as (select 's' || cast(s_suppkey as varchar) as source_id, case s_suppkey % 3 when 0 then 'ros2_db3' when 1 then 'mcap' else 'csv' end
+        as source_type from supplier),
+      t as (select 's' || cast(p_partkey % 40 as varchar) as source_id, count(*) as n, count(*) filter (p_size > 10 and p_partkey % 40 % 4 <> 0) as good
+        from part group by 1),
+      p as (select 's' || cast(l_suppkey % 50 as varchar) as source_id, 'f' || cast(l_orderkey as varchar) || '_' || cast(l_linenumber as varchar) as file,
+        case when l_suppkey % 5 = 0 then 0 else cast(l_quantity as bigint) end as points, l_linenumber = 7 as odd from lineitem)
+    select source_id, 'warning' as severity, 'mcap_topics_unavailable' as code, cast(null as varchar) as field from s left join t using (source_id)
+      where source_type = 'mcap' and n is null
+    union all select source_id, 'warning', 'ros2_topics_skipped', null from s join t using (source_id) where source_type = 'ros2_db3' and good < n
+    union all select source_id, 'error', 'ros2_no_convertible_topics', null from s left join t using (source_id)
+      where source_type = 'ros2_db3' and coalesce(good, 0) = 0
+    union all select distinct source_id, 'warning', 'point_cloud_sample_warning', file from p where odd
+    union all select source_id, 'error', 'point_cloud_coordinates_missing', 'points' from p group by source_id having max(points) <= 0""",
+)
+def source_rules(spark, sf):
+    """Issues of robot recordings and point files, which join the others through ``extra``."""
+    k = F.col("s_suppkey")
+    supplier = table(spark, sf, "supplier")
+    sources = supplier.select(
+        F.concat(F.lit("s"), k.cast("string")).alias("source_id"),
+        F.when(k % 3 == 0, "ros2_db3").when(k % 3 == 1, "mcap").otherwise("csv").alias("source_type"),
+    )
+    owner = F.col("p_partkey") % 40
+    topics = table(spark, sf, "part").select(
+        F.concat(F.lit("s"), owner.cast("string")).alias("source_id"), F.col("p_name").alias("topic"), F.col("p_brand").alias("message_type"),
+        ((F.col("p_size") > 10) & (owner % 4 != 0)).alias("convertible"),
+    )
+    line = table(spark, sf, "lineitem")
+    stats = line.select(
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 50).cast("string")).alias("source_id"),
+        F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("file"),
+        F.when(F.col("l_suppkey") % 5 == 0, 0).otherwise(F.col("l_quantity")).cast("bigint").alias("point_count"),
+        F.when(F.col("l_linenumber") == 7, "odd line").otherwise("").alias("warning"),
+    )
+    extra = V.bag_issues(sources, topics).unionByName(V.point_cloud_issues(stats))
+    mappings, streams, profiles = customer_mappings(spark, sf)
+    # the union with issues of mappings: those of one customer are left aside again
+    joined = V.mapping_issues(mappings.limit(0), streams.limit(0), profiles.limit(0), extra)
+    return joined.select("source_id", "severity", "code", "field")

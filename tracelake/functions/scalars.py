@@ -172,15 +172,23 @@ def normalize_time(value: Column, unit: str = "auto", dtype: str = "string", num
     return seconds
 
 
-def normalize_time_by(text: Column, unit: Column, dtype: Column) -> Column:
-    """:func:`normalize_time` where unit and type differ by row; ``text`` is the cell as its type writes it."""
-    number = numeric(text)
-    chain = F.when(F.lit(False), F.lit(None).cast("double"))
-    for name in TIME_UNITS:
-        as_number = normalize_time(text.try_cast("double"), name, "double")
-        as_text = normalize_time(text, name, "string", number)
-        chain = chain.when(unit == name, F.when(dtype.isin("bigint", "double"), as_number).otherwise(as_text))
-    return chain
+def normalize_time_by(text: Column, unit: Column, dtype: Column, number: Column | None = None) -> Column:
+    """:func:`normalize_time` where unit and type differ by row; ``text`` is the cell as its type writes it, ``number``
+    :func:`numeric` of it where a projection has computed it already."""
+    number = numeric(text) if number is None else number
+    is_number = dtype.isin("bigint", "double")
+    divisor = _case([(unit == name, F.lit(size)) for name, size in _UNIT_DIVISORS.items()], F.lit(1.0))
+    scaled = (
+        F.when(unit == "auto", auto_seconds(number))
+        .when(unit.isin("seconds", "relative_s"), number)
+        .otherwise(_in_calendar(number / divisor))
+    )
+    counted = _in_calendar(F.floor(number / F.lit(1e3)) / F.lit(1e6))
+    return (
+        F.when(unit == "datetime", F.when(is_number, counted).otherwise(_datetime_seconds(text, "string")))
+        .when(number.isNotNull(), scaled)
+        .when(~is_number, parse_datetime(text))
+    )
 
 
 def unit_tag(seconds: Column, number: Column, unit: str = "auto") -> Column:

@@ -249,6 +249,7 @@ def melt_records(records: DataFrame, rules: DataFrame) -> DataFrame:
         F.transform(F.filter("cells", lambda c: c["text"].isNotNull()), lambda c: F.struct(c["field"], c["text"]))
     )
     met = records.join(rules, "source_id").withColumn("_texts", texts)
+    # the clock is read once per record, in a projection of its own
     value = lambda field, dtype: typed_text(F.try_element_at("_texts", field), dtype)
 
     def told(part: Column) -> Column:
@@ -270,7 +271,9 @@ def melt_records(records: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce("logs", F.array()),
         lambda log: cell(log["entity_path"], F.lit("text_log"), F.lit("message"), F.lit("string"), F.nullif(joined(log), F.lit(""))),
     )
-    time = normalize_time_by(value(F.col("time_key"), F.col("time_dtype")), F.col("unit"), F.col("time_dtype"))
+    met = met.withColumn("_clock", value(F.col("time_key"), F.col("time_dtype")))
+    met = met.withColumn("_number", numeric(F.col("_clock")))
+    time = normalize_time_by(F.col("_clock"), F.col("unit"), F.col("time_dtype"), F.col("_number"))
     cells = met.select(
         "recording_id", "source_id", time.alias("time"), "ord", F.explode(F.concat(single, message)).alias("c")
     ).select("recording_id", "source_id", "time", "ord", "c.*")

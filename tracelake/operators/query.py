@@ -90,36 +90,46 @@ def filter_tokens(signals: DataFrame, tokens: list[str] | None) -> DataFrame:
 # ---- templates -------------------------------------------------------------------
 
 
+# fixed values: words and names that the templates look for
+_ERROR_WORDS = "error|warn|fault"
+_LOG_TYPES = ("text_log", "state")
+_NUMBER_TYPES = ("scalar", "scalar_group")
+_SCORE_KEYS = ("score_min", "score_mean")
+_FRAME_PATH, _FRAME_COUNT = "/camera/pred", "pred_box_count"
+
+
+def is_error() -> Column:
+    """Whether a row is a log or state that mentions an error, a warning or a fault."""
+    return F.col("semantic_type").isin(*_LOG_TYPES) & F.lower(value_text()).rlike(_ERROR_WORDS)
+
+
+def is_low_battery(threshold: float) -> Column:
+    name = F.lower(F.concat_ws(" ", "key", "entity_path"))
+    number = F.col("semantic_type").isin(*_NUMBER_TYPES) & name.contains("battery")
+    return number & (F.col("value_num") < F.lit(float(threshold)))
+
+
+def detection_reason(threshold: float) -> Column:
+    """What is wrong with the predictions of a frame that a row tells of, null if nothing is."""
+    here = F.col("entity_path").startswith(_FRAME_PATH)
+    none = (F.col("key") == _FRAME_COUNT) & (F.col("value_num") == 0)
+    low = F.col("key").isin(*_SCORE_KEYS) & (F.col("value_num") < F.lit(float(threshold)))
+    return F.when(here & none, F.lit("no_prediction")).when(here & low, F.lit("low_score"))
+
+
 def find_errors(signals: DataFrame) -> DataFrame:
     """Log and state rows that mention an error, a warning or a fault."""
-    return signals.filter(
-        F.col("semantic_type").isin("text_log", "state") & F.lower(value_text()).rlike("error|warn|fault")
-    )
+    return signals.filter(is_error())
 
 
 def low_battery(signals: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Battery samples below the threshold."""
-    name = F.lower(F.concat_ws(" ", "key", "entity_path"))
-    return signals.filter(
-        F.col("semantic_type").isin("scalar", "scalar_group")
-        & name.contains("battery")
-        & (F.col("value_num") < F.lit(float(threshold)))
-    )
+    return signals.filter(is_low_battery(threshold))
 
 
 def detection_failure(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Frames without predictions or with low scores; adds ``reason``."""
-    reason = F.when(
-        (F.col("key") == "pred_box_count") & (F.col("value_num") == 0), F.lit("no_prediction")
-    ).when(
-        F.col("key").isin("score_min", "score_mean") & (F.col("value_num") < F.lit(float(threshold))),
-        F.lit("low_score"),
-    )
-    found = signals.filter(
-        F.col("entity_path").startswith("/camera/pred")
-        & F.col("key").isin("pred_box_count", "score_min", "score_mean")
-    )
-    return found.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return signals.withColumn("reason", detection_reason(threshold)).filter(F.col("reason").isNotNull())
 
 
 def topic_summary(signals: DataFrame) -> DataFrame:

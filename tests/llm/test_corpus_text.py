@@ -298,9 +298,8 @@ def spark_hash(*values):
 
 def plain_chunks(words, size=50):
     """Chunks (hash, first window, last window) of a row of words with their blanks, those that own windows."""
-    bare = [w.rstrip(lines.BLANKS) for w in words]
-    hashes = [spark_hash(w) for w in bare]
-    ends = lambda i: hashes[i] % lines.LINE_WORDS == 0 or "\n" in words[i] or bare[i][-1:] in lines.CLOSING
+    hashes = [spark_hash(w) for w in words]
+    ends = lambda i: hashes[i] % lines.LINE_WORDS == 0 or "\n" in words[i] or words[i][-2:] in lines.CLOSING
     starts = [0, *(i + 1 for i in range(len(words) - 1) if ends(i)), len(words)]
     starts = [x for a, b in zip(starts, starts[1:]) for x in range(a, b, lines.LONGEST_LINE)] + [len(words)]
     line = [spark_hash(*hashes[x:y]) for x, y in zip(starts, starts[1:])]

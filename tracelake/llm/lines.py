@@ -22,9 +22,10 @@ from tracelake.llm.common import inner_names, meet, shingles_of, written
 BLANKS = " \t\n\x0b\f\r"
 # scripts that set no blanks: every character is a word
 WORD_ENDS = r"(?<=\s)(?=\S)|(?<=[฀-໿က-႟ក-៿぀-ヿ㐀-鿿])(?=\S)"
-CLOSING = list(".!?,;:")
+#: ends of words that end a line, as does a line break
+CLOSING = [mark + " " for mark in ".!?,;:"]
 #: one in so many words ends a line whatever it is
-LINE_WORDS = 2
+LINE_WORDS = 3
 #: words of a line in which nothing ends it
 LONGEST_LINE = 32
 #: chunks to either side that a chunk is compared with; where more share a window, more than one may own it
@@ -63,13 +64,15 @@ def chunks_of(text: Column, size: int) -> Column:
         def ends(i: Column) -> Column:
             word = F.get(words, i)
             chosen = F.pmod(F.get(hashes, i), F.lit(LINE_WORDS)) == 0
-            return chosen | F.contains(word, F.lit("\n")) | F.right(bare(word), F.lit(1)).isin(CLOSING)
+            return chosen | F.substring(word, -2, 2).isin(CLOSING) | F.contains(word, F.lit("\n"))
 
         count = F.size(words)
         cuts = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (i < count - 1) & ends(i))
         starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1), F.array(count))
         short = lambda a, b: F.sequence(a, F.greatest(F.coalesce(b, a) - 1, a), F.lit(LONGEST_LINE))
-        cut_short = let(starts, lambda s: F.concat(_whole(F.flatten(_next(s, short))), F.array(count)))
+        longest = lambda s: F.array_max(_next(s, lambda a, b: b - a))
+        all_short = lambda s: F.concat(_whole(F.flatten(_next(s, short))), F.array(count))
+        cut_short = let(starts, lambda s: F.when(longest(s) > LONGEST_LINE, all_short(s)).otherwise(s))
         return let(cut_short, lambda s: let(borders(hashes, s), lambda c: let(chunked(words, hashes, s, c), lambda x: owning(words, x))))
 
     def span(values: Column, a: Column, b: Column) -> Column:
@@ -119,7 +122,8 @@ def chunks_of(text: Column, size: int) -> Column:
 
         return F.transform(F.filter(F.transform(chunks, own), lambda x: x["n"] > 0), told)
 
-    return let(words_of(text), lambda words: let(F.transform(words, lambda w: F.xxhash64(bare(w))), lambda h: of(words, h)))
+    # blanks belong to their words; a chunk is followed by two lines, so its last word stands as it does elsewhere
+    return let(words_of(text), lambda words: let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: of(words, h)))
 
 
 def windows_of(text: Column, chunks: Column, size: int) -> Column:

@@ -491,3 +491,16 @@ def test_lines_shuffled_passages(frame):
     got = lines.remove_repeated(frame([" ".join(parts), " ".join(other)], extra=""), copy_share=1.1).collect()
     sizes = sorted(len(r.text) for r in got)
     assert sizes[0] < 0.02 * sizes[1] and sizes[1] == len(" ".join(parts))
+
+
+def test_lines_compute_values_once(spark):
+    """Lists without their last value, and shares of common shingles, name what they are made of once."""
+    made = F.transform(F.col("x"), lambda v: F.xxhash64(v))
+    assert str(lines._whole(made)).count("xxhash64") == 1
+    assert str(lines._copies(0.8, 5)).count("array_intersect") == 1
+
+
+def test_lines_leave_out_what_stands_once(spark, frame):
+    """Only keys of several places go on to be compared; copies of one text are one place."""
+    rows = spark.createDataFrame([(b"a", 1, 0), (b"a", 1, 0), (b"a", 2, 0), (b"b", 2, 5), (b"c", 3, 1), (b"c", 3, 9)], "rid binary, h long, q int")
+    assert {r.h for r in lines._at_two_places(rows, "h").collect()} == {2, 3}

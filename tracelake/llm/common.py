@@ -50,7 +50,9 @@ def shingles_of(text: Column, words: int) -> Column:
     # a let: the words are cut once
     known = F.array(F.transform(F.filter(F.split(lower, "[ \\t-\\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
     places = lambda own: F.sequence(F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1)))
-    return F.flatten(F.transform(known, lambda own: F.transform(places(own), lambda i: F.xxhash64(F.slice(own, i, words)))))
+    # words are named, not sliced; there are nulls behind the last one, and they add nothing
+    run = lambda own, i: F.xxhash64(*(F.get(own, i + (k - 1)) for k in range(words)))
+    return F.flatten(F.transform(known, lambda own: F.transform(places(own), lambda i: run(own, i))))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

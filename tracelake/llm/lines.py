@@ -21,20 +21,25 @@ from tracelake.llm.common import inner_names, meet, shingles_of, written
 
 BLANKS = " \t\n\x0b\f\r"
 # scripts that set no blanks: every character is a word
-WORD_ENDS = r"(?<=\s)(?=\S)|(?<=[฀-໿က-႟ក-៿぀-ヿ㐀-鿿])(?=\S)"
+UNSPACED = "[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]"
+BLANK_ENDS = r"(?<=\s)(?=\S)"
+WORD_ENDS = rf"{BLANK_ENDS}|(?<={UNSPACED})(?=\S)"
 #: ends of words that end a line, as does a line break
 CLOSING = [mark + " " for mark in ".!?,;:"]
 #: one in so many words ends a line whatever it is
 LINE_WORDS = 3
 #: words of a line in which nothing ends it
 LONGEST_LINE = 32
+#: words of a line that are hashed one by one
+FEW = 5
 #: chunks to either side that a chunk is compared with; where more share a window, more than one may own it
 NEAR = 8
 
 
 def words_of(text: Column) -> Column:
     """The words of a text with all blanks behind them: joined they are the text."""
-    return F.split(text, WORD_ENDS)
+    spaced = (F.octet_length(text) == F.length(text)) | ~F.rlike(text, F.lit(UNSPACED))
+    return F.when(spaced, F.split(text, BLANK_ENDS)).otherwise(F.split(text, WORD_ENDS))
 
 
 def bare(word: Column) -> Column:
@@ -48,7 +53,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _whole(pairs: Column) -> Column:
     """All values but the last."""
-    return F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))
+    # a let: the values are not computed once more for their number
+    return let(pairs, lambda p: F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))))
 
 
 def _next(values: Column, join: Callable[[Column, Column], Column]) -> Column:
@@ -61,32 +67,37 @@ def chunks_of(text: Column, size: int) -> Column:
     are ``n``, and hash ``s`` of the bytes they cover."""
 
     def of(words: Column, hashes: Column) -> Column:
-        def ends(i: Column) -> Column:
-            word = F.get(words, i)
+        def start(word: Column, i: Column) -> Column:
+            """Number of the word behind one that ends a line."""
             chosen = F.pmod(F.get(hashes, i), F.lit(LINE_WORDS)) == 0
-            return chosen | F.substring(word, -2, 2).isin(CLOSING) | F.contains(word, F.lit("\n"))
+            ends = chosen | F.substring(word, -2, 2).isin(CLOSING) | F.contains(word, F.lit("\n"))
+            return F.when(ends, i + 1)
 
         count = F.size(words)
-        cuts = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (i < count - 1) & ends(i))
-        starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1), F.array(count))
+        starts = F.filter(F.transform(words, start), lambda i: i < count)
+        starts = F.concat(F.array(F.lit(0)), starts, F.array(count))
         short = lambda a, b: F.sequence(a, F.greatest(F.coalesce(b, a) - 1, a), F.lit(LONGEST_LINE))
         longest = lambda s: F.array_max(_next(s, lambda a, b: b - a))
         all_short = lambda s: F.concat(_whole(F.flatten(_next(s, short))), F.array(count))
         cut_short = let(starts, lambda s: F.when(longest(s) > LONGEST_LINE, all_short(s)).otherwise(s))
-        return let(cut_short, lambda s: let(borders(hashes, s), lambda c: let(chunked(words, hashes, s, c), lambda x: owning(words, x))))
+        return let(cut_short, lambda s: let(borders(hashes, s), lambda c: let(chunked(words, hashes, s, c), lambda x: owning(words, hashes, x))))
 
     def span(values: Column, a: Column, b: Column) -> Column:
         return F.xxhash64(F.slice(values, a + 1, F.greatest(b - a, F.lit(0))))
 
+    def line(hashes: Column, a: Column, b: Column) -> Column:
+        """The hash of a line. Most are of few words: nulls add nothing, so their words are named without a slice."""
+        few = [F.get(hashes, a)] + [F.when(b > a + i, F.get(hashes, a + i)) for i in range(1, FEW)]
+        return F.when(b - a <= FEW, F.xxhash64(*few)).otherwise(span(hashes, a, b))
+
     def borders(hashes: Column, starts: Column) -> Column:
         """Numbers of the lines at which chunks begin."""
-        lines = _whole(_next(starts, lambda a, b: F.when(b.isNotNull(), span(hashes, a, b))))
+        lines = _whole(_next(starts, lambda a, b: F.when(b.isNotNull(), line(hashes, a, b))))
         rolling = let(lines, lambda x: _whole(_next(x, lambda p, q: F.xxhash64(p, q))))
 
         def least(r: Column) -> Column:
-            at = lambda j: F.get(r, j)
-            low = lambda j: (at(j) <= at(j - 1)) & F.coalesce(at(j) <= at(j + 1), F.lit(True))
-            return F.filter(F.sequence(F.lit(0), F.size(r)), low)
+            low = lambda x, j: (x <= F.get(r, j - 1)) & F.coalesce(x <= F.get(r, j + 1), F.lit(True))
+            return F.filter(F.transform(r, lambda x, j: F.when(low(x, j), j)), lambda j: j.isNotNull())
 
         return let(rolling, least)
 
@@ -106,39 +117,35 @@ def chunks_of(text: Column, size: int) -> Column:
 
         return _whole(_next(borders, chunk))
 
-    def owning(words: Column, chunks: Column) -> Column:
+    def owning(words: Column, hashes: Column, chunks: Column) -> Column:
         def own(x: Column, k: Column) -> Column:
-            near = F.lit(NEAR)
-            left = F.filter(F.slice(chunks, F.greatest(k - near + 1, F.lit(1)), F.least(k, near)), lambda y: y["h"] <= x["h"])
-            right = F.filter(F.slice(chunks, k + 2, near), lambda y: y["h"] < x["h"])
-            first = F.greatest(x["low"], F.coalesce(F.array_max(F.transform(left, lambda y: y["high"])) + 1, x["low"]))
-            final = F.least(x["high"], F.coalesce(F.array_min(F.transform(right, lambda y: y["low"])) - 1, x["high"]))
-            return F.struct(x["h"].alias("h"), first.alias("q"), (final - first + 1).alias("n"))
+            # first and last windows grow along the text: of the chunks with smaller hashes the nearest one counts
+            at = lambda d: F.get(chunks, k + d)
+            left = F.coalesce(*(F.when(at(-d)["h"] <= x["h"], at(-d)["high"] + 1) for d in range(1, NEAR + 1)), x["low"])
+            right = F.coalesce(*(F.when(at(d)["h"] < x["h"], at(d)["low"] - 1) for d in range(1, NEAR + 1)), x["high"])
+            return F.struct(x["h"].alias("h"), F.greatest(x["low"], left).alias("q"), F.least(x["high"], right).alias("last"))
 
         def told(x: Column) -> Column:
-            end = x["q"] + x["n"] + (size - 2)
-            cover = F.xxhash64(F.slice(words, x["q"] + 1, end - x["q"]), bare(F.get(words, end)))
-            return F.struct(x["h"], cover.alias("s"), x["q"], x["n"])
+            end = x["last"] + (size - 1)
+            cover = F.xxhash64(F.slice(hashes, x["q"] + 1, end - x["q"]), bare(F.get(words, end)))
+            return F.struct(x["h"], cover.alias("s"), x["q"], (x["last"] - x["q"] + 1).alias("n"))
 
-        return F.transform(F.filter(F.transform(chunks, own), lambda x: x["n"] > 0), told)
+        return F.transform(F.filter(F.transform(chunks, own), lambda x: x["q"] <= x["last"]), told)
 
     # blanks belong to their words; a chunk is followed by two lines, so its last word stands as it does elsewhere
     return let(words_of(text), lambda words: let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: of(words, h)))
 
 
-def windows_of(text: Column, chunks: Column, size: int) -> Column:
-    """The windows of some chunks: hash ``h`` of the chunk, first word ``q``, and hash ``x`` of the bytes."""
-
-    def at(words: Column) -> Column:
-        def window(h: Column, q: Column) -> Column:
-            # blanks behind the last word do not count
-            inner, end = F.slice(words, q + 1, size - 1), bare(F.get(words, q + (size - 1)))
-            return F.struct(h.alias("h"), q.alias("q"), F.xxhash64(inner, end).alias("x"))
-
-        places = lambda c: F.sequence(c["q"], c["q"] + c["n"] - 1)
-        return F.flatten(F.transform(chunks, lambda c: F.transform(places(c), lambda q: window(c["h"], q))))
-
-    return let(words_of(text), at)
+def windows_of(rows: DataFrame, size: int) -> DataFrame:
+    """The windows of some chunks, ``rows (rid, text, chunks)``: hash ``h`` of the chunk, first word ``q``, and hash ``x``
+    of the bytes. Words are cut once a text; windows are rows, not elements, so their hashes are compiled."""
+    rows = rows.select("rid", words_of(F.col("text")).alias("words"), "chunks")
+    rows = rows.select("rid", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "chunks")
+    rows = rows.select("rid", "words", "hashes", F.explode("chunks").alias("c"))
+    rows = rows.select("rid", "words", "hashes", "c.h", F.explode(F.expr("sequence(c.q, c.q + c.n - 1)")).alias("q"))
+    # blanks behind the last word do not count
+    inner, end = F.slice("hashes", F.col("q") + 1, F.lit(size - 1)), bare(F.get("words", F.col("q") + (size - 1)))
+    return rows.select("rid", "h", F.xxhash64(inner, end).alias("x"), "q")
 
 
 def runs_of(found: Column, size: int) -> Column:
@@ -187,7 +194,10 @@ def remove_repeated(
     own = marked.select(F.col(rid).alias("rid"), F.col(text).alias("text")).where(F.length("text") >= size)
     chunks = own.select("rid", F.explode(chunks_of(F.col("text"), size)).alias("c")).select("rid", "c.h", "c.s", "c.q", "c.n")
     chunks = written(chunks, "chunks")
+    # in monotonous texts a chunk may own so many windows that they repeat one another
+    many = written(chunks.where(F.col("n") > size).select("rid", F.struct("h", "q", "n").alias("c")), "many")
     place, fields = F.struct("rid", "q"), ["h", "s", "first", "rows"]
+    chunks = written(_at_two_places(chunks, "h"), "shared")
     covers = chunks.groupBy("h", "s").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("rows"))
     covers = written(covers, "covers")
     several = covers.groupBy("h").agg(F.count("*").alias("covers"), F.min("first").alias("least"), F.max("last").alias("most"))
@@ -206,16 +216,14 @@ def remove_repeated(
     # and so is the kept one, which covers the same
     opens = kept.where((is_first & F.col("open")) | beside).select("rid", F.struct("h", "q", "n").alias("c"))
     opens = opens.union(kept.where(beside).select("rid", F.struct("h", F.col("first.q").alias("q"), "n").alias("c")))
-    # in monotonous texts a chunk may own so many windows that they repeat one another
-    many = chunks.where(F.col("n") > size).select("rid", F.struct("h", "q", "n").alias("c"))
     chosen = opens.union(many).groupBy("rid").agg(F.collect_set("c").alias("chunks"))
     # one row for all copies of a text
     used = kept.where("open or first.rid != rid or q > first.q").select("rid").union(kept.select("first.rid"))
-    used = used.union(many.select("rid")).distinct()
+    used = written(used.union(many.select("rid")).distinct(), "used")
     texts = own.join(used, "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
-    opened = texts.join(chosen, "rid").select("rid", F.explode(windows_of(F.col("text"), F.col("chunks"), size)).alias("w"))
-    opened = written(opened.select("rid", "w.h", "w.x", "w.q"), "windows")
+    opened = written(windows_of(texts.join(chosen, "rid"), size), "windows")
+    opened = written(_at_two_places(opened, "x"), "repeats")
     twice = opened.groupBy("h", "x").agg(F.min(place).alias("keeper"), F.max(place).alias("most"), F.count("*").alias("n"))
     twice = written(twice.where("keeper != most").drop("most"), "keepers")
     found = meet(opened, twice, ["h", "x"], "n").where(f"rid != keeper.rid or q >= keeper.q + {size}")
@@ -224,18 +232,23 @@ def remove_repeated(
     pairs = written(pairs.select("rid", "from", runs_of(F.col("pieces"), size).alias("runs")), "pairs")
     both = pairs.join(texts.withColumnRenamed("text", "own"), "rid")
     both = both.join(texts.select(F.col("rid").alias("from"), F.col("text").alias("other")), "from")
-    bytes_of = lambda words, a, b: F.concat(F.array_join(F.slice(words, a + 1, b - a - 1), ""), bare(F.get(words, b - 1)))
-    same = lambda x, y, run: bytes_of(x, run["a"], run["b"]) == bytes_of(y, run["a"] - run["shift"], run["b"] - run["shift"])
+    inner = lambda words, a, b: F.slice(words, a + 1, b - a - 1)
+    end = lambda words, b: bare(F.get(words, b - 1))
+    alike = lambda x, y, a, b, shift: (end(x, b) == end(y, b - shift)) & (inner(x, a, b) == inner(y, a - shift, b - shift))
+    same = lambda x, y, run: alike(x, y, run["a"], run["b"], run["shift"])
     cuts = let(words_of(F.col("own")), lambda x: let(words_of(F.col("other")), lambda y: F.filter("runs", lambda run: same(x, y, run))))
-    both = both.withColumn("cuts", cuts).where(F.size("cuts") > 0)
-    lists = both.where((F.col("rid") == F.col("from")) | ~_copies(copy_share, shingle_words))
-    lists = lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("picks"))
+    # no condition on the cuts: they would be computed for it and once more
+    lists = both.where((F.col("rid") == F.col("from")) | ~_copies(copy_share, shingle_words)).select("rid", cuts.alias("cuts"))
+    lists = lists.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias("picks"))
+    # in order, equal runs are neighbours
+    single = let(F.col("picks"), lambda p: F.filter(p, lambda run, i: (i == 0) | (run != F.get(p, i - 1))))
+    lists = written(lists.select("rid", single.alias("picks")), "lists")
     joined = _with_lists(marked, rid, lists, drops)
     some = F.col(drops).isNotNull()
     name = inner_names(joined, "_cut")[0]
     # of runs in the order of their starts, each adds what goes on behind all before it: the words between are kept
     kept = F.transform(
-        F.array(F.struct(words_of(F.col(text)).alias("w"), F.array_sort(drops).alias("p"))),
+        F.array(F.struct(words_of(F.col(text)).alias("w"), F.col(drops).alias("p"))),
         lambda x: F.aggregate(
             x["p"],
             F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
@@ -251,12 +264,20 @@ def remove_repeated(
     return out.withColumn(text, F.col(name)).drop(name, rid, drops)
 
 
+def _at_two_places(rows: DataFrame, key: str) -> DataFrame:
+    """Those of ``rows (rid, q, ...)`` whose ``key`` stands at two places or more, told by 64-bit hashes of the places."""
+    spot = F.xxhash64("rid", "q")
+    several = rows.groupBy(key).agg(F.min(spot).alias("least"), F.max(spot).alias("most"), F.count("*").alias("rows"))
+    several = written(several.where("least != most").select(key, "rows"), "several")
+    return meet(rows, several, [key], "rows").select(*rows.columns)
+
+
 def _copies(share: float, words: int) -> Column:
     """Whether the sets of shingles of ``own`` and ``other`` overlap by ``share``; sets are only made of texts that could."""
 
     def overlap(x: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x, y))
-        return both >= F.lit(share) * (F.size(x) + F.size(y) - both)
+        enough = lambda both: both >= F.lit(share) * (F.size(x) + F.size(y) - both)
+        return let(F.size(F.array_intersect(x, y)), enough)
 
     sets = lambda name: F.array_distinct(shingles_of(F.col(name), words))
     # characters per word differ little between texts that share most of them

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -504,3 +505,16 @@ def test_lines_leave_out_what_stands_once(spark, frame):
     """Only keys of several places go on to be compared; copies of one text are one place."""
     rows = spark.createDataFrame([(b"a", 1, 0), (b"a", 1, 0), (b"a", 2, 0), (b"b", 2, 5), (b"c", 3, 1), (b"c", 3, 9)], "rid binary, h long, q int")
     assert {r.h for r in lines._at_two_places(rows, "h").collect()} == {2, 3}
+
+
+def test_encoder_serves_the_tasks_that_follow(monkeypatch):
+    """Tasks of one worker share a tokenizer; once it is idle its memory is given back."""
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.2)
+    monkeypatch.setattr(bpe, "_MADE", {})
+    key = (public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, 1000, 1000)
+    with bpe.lent(*key) as first:
+        ids = first.encode("one two")
+    with bpe.lent(*key) as second:
+        assert second is first and second.encode("one two") == ids
+    time.sleep(1)
+    assert not bpe._MADE

@@ -12,9 +12,11 @@ most one longest token after its end.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import itertools
 import re
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -305,6 +307,27 @@ def _tokenizer(path: str, pattern: str, most: int = 400_000, states: int = 500_0
     return _MADE[key]
 
 
+#: seconds after which a worker that encodes nothing more gives its memory back
+IDLE_SECONDS = 4.0
+_RELEASE: list[threading.Timer] = []
+
+
+@contextlib.contextmanager
+def lent(path: str, pattern: str, most: int, states: int) -> Iterator[Tokenizer]:
+    """The tokenizer of a worker process for one task: the tasks that follow go on with it, and once there are none for
+    ``IDLE_SECONDS`` it goes, as the worker stays to serve other stages."""
+    while _RELEASE:
+        _RELEASE.pop().cancel()
+    tokenizer = _tokenizer(path, pattern, most, states)
+    try:
+        yield tokenizer
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, _MADE.clear)
+        timer.daemon = True
+        timer.start()
+        _RELEASE.append(timer)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: every text is encoded whole, and its ids are decoded again.
 
@@ -340,9 +363,9 @@ def encode(
     """``docs`` with ``ids`` (array of int) and ``round_trip``: whether the ids decode to the text again.
 
     Columns of those names are replaced. Null texts have no ids and count as empty. Texts are encoded whole, however
-    long; repeated rows get equal ids, an empty table gives no rows. A task keeps the ids of up to twice ``most`` words
-    and a machine of up to about ``states`` states, some 400 MB, and gives them back when it ends: its worker goes on to
-    serve other stages.
+    long; repeated rows get equal ids, an empty table gives no rows. A worker keeps the ids of up to twice ``most`` words
+    and a machine of up to about ``states`` states, some 400 MB, for the tasks that follow, and gives them back when there
+    are none.
     """
     docs = docs.drop("ids", "round_trip")
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
@@ -350,17 +373,17 @@ def encode(
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(read_ranks(path), pattern, most, states)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                ids, same = [], []
-                for value in batch.column(at):
-                    found = tokenizer.encode(value.as_py())
-                    ids.append(np.array(found, np.int32))
-                    same.append(tokenizer.decoder.text(found) == (value.as_py() or ""))
-                arrays = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        with lent(path, pattern, most, states) as tokenizer:
+            for whole in batches:
+                for i in range(0, whole.num_rows, 512):
+                    batch = whole.slice(i, 512)
+                    ids, same = [], []
+                    for value in batch.column(at):
+                        found = tokenizer.encode(value.as_py())
+                        ids.append(np.array(found, np.int32))
+                        same.append(tokenizer.decoder.text(found) == (value.as_py() or ""))
+                    arrays = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(work, schema)
 

@@ -132,8 +132,9 @@ def test_landed_rows_are_taken_in_parts(spark, tmp_path, monkeypatch):
     fixed = rows.filter("recording_id in ('a', 'c') and ord < 3 or recording_id is null and ord = 0").withColumn("value_num", F.lit(100.0))
     fixed = fixed.withColumn("time", F.lit(7.0)).unionByName(signals(spark, ["g"], 2).withColumn("ord", F.col("ord") + 50)).unionByName(signals(spark, ["new"], 4))
     fixed.write.mode("append").parquet(landed)
-    before, until = shuffle_files(spark), time.time() + 20
+    before = shuffle_files(spark)
     assert K.compact_signals(spark, landed, path) == 2
+    until = time.time() + 20
     while shuffle_files(spark) - before and time.time() < until:
         time.sleep(0.2)
     assert not shuffle_files(spark) - before
